@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chronotext.llm._spark import table
 from chronotext.llm.minhash_dedup import near_duplicate_groups
+from chronotext.llm.toxicity import model_for, toxic_spans
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_spans(table(spark, sf_dir, "documents"), model_for(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_toxicity": op8_toxicity,
 }
 
 SQL: dict[str, str] = {}
