@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from chronotext.llm._spark import table
 from chronotext.llm.bpe import encoded
 from chronotext.llm.decontaminate import index_of, leaks
+from chronotext.llm import language_id
 from chronotext.llm.minhash_dedup import near_duplicate_groups
 from chronotext.llm.token_count import token_counts
 from chronotext.llm.toxicity import model_for, toxic_spans
@@ -34,12 +35,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_spans(table(spark, sf_dir, "documents"), model_for(spark, sf_dir))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(table(spark, sf_dir, "documents"), language_id.model_for(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op5_bpe": op5_bpe,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_toxicity": op8_toxicity,
+    "op10_language_id": op10_language_id,
 }
 
 SQL: dict[str, str] = {}
