@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,7 +96,7 @@ def _cells_of(w: Words, first: np.ndarray) -> np.ndarray:
         before[head] = 0
         after[:-1] = mix(word[1:] + U64(1002))
         after[:-1][head[1:]] = 0
-    return np.stack([_cell(h) for h in (word, *pre, *suf, before, after)])
+    return np.stack([_cell(h).astype(np.int32) for h in (word, *pre, *suf, before, after)])
 
 
 def emissions(cells: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
@@ -140,7 +141,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def fit(cells: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int = 60, l2: float = 0.5, rate: float = 0.2) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
     """Maximum likelihood by Adam on the whole batch: (table cells, their weights, bias, trans)."""
     used, where = np.unique(cells, return_inverse=True)
-    where = where.reshape(cells.shape)
+    where = where.reshape(cells.shape).astype(np.int32)
     dead = int(np.searchsorted(used, 0)) if 0 in used else -1
     n = cells.shape[1]
     theta = np.zeros(len(used) + 5)
@@ -205,12 +206,18 @@ def token_labels(w: Words, toxic: np.ndarray) -> np.ndarray:
     families = [mix(word), *pre]
     counts = []
     for h in families:
-        live = h != 0
-        pair = np.unique(np.stack([h[live], owner[live].astype(U64)]), axis=1) if live.any() else np.zeros((2, 0), U64)
-        names, inv = np.unique(pair[0], return_inverse=True)
-        bad = np.bincount(inv, weights=toxic[pair[1].astype(np.int64)], minlength=len(names))
-        counts.append((names, bad, np.bincount(inv, minlength=len(names)) - bad))
-    tried = sum(int((b + g >= 3).sum()) for _, b, g in counts)
+        live = np.flatnonzero(h)
+        order = live[np.argsort(h[live], kind="stable")]  # words stand by document, so equal names do too
+        name, doc = h[order], owner[order]
+        once = np.ones(len(name), dtype=bool)
+        once[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
+        name, doc = name[once], doc[once]
+        begin = np.flatnonzero(np.r_[True, name[1:] != name[:-1]]) if len(name) else np.zeros(0, np.int64)
+        n = np.diff(np.r_[begin, len(name)])
+        bad = np.add.reduceat(toxic[doc], begin) if len(begin) else begin
+        often = n >= 3
+        counts.append((name[begin][often], bad[often], (n - bad)[often]))
+    tried = sum(len(names) for names, _, _ in counts)
     y = np.zeros(len(word), dtype=np.int64)
     for h, (names, bad, good) in zip(families, counts):
         n = bad + good
@@ -222,12 +229,12 @@ def token_labels(w: Words, toxic: np.ndarray) -> np.ndarray:
     return y & toxic[owner]
 
 
-def train(texts: list[str], toxic: list[int], seed: int = 11) -> Crf:
+def train(texts: pa.Array, toxic: list[int], seed: int = 11) -> Crf:
     """A field from labelled documents; a third of them is held out to set the document thresholds.
 
     Without any toxic label, or without any feature bound to it, nothing is ever toxic.
     """
-    arr = pa.array([t or "" for t in texts], pa.string())
+    arr = pc.fill_null(texts, "")
     label = np.array([int(bool(x)) for x in toxic], dtype=np.int64)
     kept = one_per_family(arr) if len(arr) else np.zeros(0, np.int64)
     arr, label = arr.take(pa.array(kept)), label[kept]
@@ -259,26 +266,28 @@ def train(texts: list[str], toxic: list[int], seed: int = 11) -> Crf:
     share = score / np.maximum(np.diff(w.first), 1)
     if not (held & (label == 1)).any():
         held[:] = True
-    best = (-1.0, 0.0, 0.0)
+    tried = []
     for at_least in (0.5, 1, 1.5, 2, 2.5, 3, 4):
-        for part in (0.004, 0.002, 0.001, 0.0005, 0.0):
+        for part in (0.0, 0.0005, 0.001, 0.002, 0.004):
             said = (score >= at_least) & (share >= part)
             hit = (said & (label == 1) & held).sum()
-            f1 = 2 * hit / max(1, (said & held).sum() + ((label == 1) & held).sum())
-            if f1 >= best[0] - 1e-9:  # of equal ones the most words, then the least share
-                best = (f1, at_least, part)
-    crf.min_words, crf.min_share = best[1], best[2]
+            tried.append((2 * hit / max(1, (said & held).sum() + ((label == 1) & held).sum()), at_least, part))
+    top = max(t[0] for t in tried)
+    equal = [t for t in tried if t[0] >= top - 1e-9]
+    margin = sorted({t[1] for t in equal})
+    crf.min_words = margin[len(margin) // 2]  # of equal ones the middle count, then the least share
+    crf.min_share = min(t[2] for t in equal if t[1] == crf.min_words)
     return crf
 
 
-def fit_on_labels(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_other: int = 3000) -> Crf:
+def fit_on_labels(docs: DataFrame, labels: DataFrame, max_toxic: int = 600, max_other: int = 1800) -> Crf:
     """Trains on at most max_toxic + max_other labelled rows, chosen by a hash of their id."""
     rows = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic is not null").distinct()
     mark = F.xxhash64("id")
     some = rows.where("toxic = 1").orderBy(mark, "id").limit(max_toxic).union(rows.where("toxic = 0").orderBy(mark, "id").limit(max_other))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null")
     got = texts.join(F.broadcast(some), "id").select("id", "text", "toxic").orderBy("id", "text", "toxic").toArrow()
-    return train(got.column("text").to_pylist(), got.column("toxic").to_pylist())
+    return train(got.column("text").combine_chunks(), got.column("toxic").to_pylist())
 
 
 def _score(texts: pa.Array, table_: np.ndarray, crf: Crf) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
