@@ -11,6 +11,7 @@ from chronotext.llm.bpe import encoded
 from chronotext.llm.decontaminate import index_of, leaks
 from chronotext.llm import language_id
 from chronotext.llm.minhash_dedup import near_duplicate_groups
+from chronotext.llm.suffix_dedup import repeated_passages
 from chronotext.llm.token_count import token_counts
 from chronotext.llm.toxicity import model_for, toxic_spans
 
@@ -35,6 +36,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_spans(table(spark, sf_dir, "documents"), model_for(spark, sf_dir))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(table(spark, sf_dir, "documents"), language_id.model_for(spark, sf_dir))
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_toxicity": op8_toxicity,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_language_id": op10_language_id,
 }
 
