@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chronotext.llm import language_id
 from chronotext.llm._spark import table
 from chronotext.llm.bpe import encoded
 from chronotext.llm.decontaminate import index_of, leaks
-from chronotext.llm import language_id
+from chronotext.llm.embed_dedup import near_duplicate_vectors
 from chronotext.llm.minhash_dedup import near_duplicate_groups
 from chronotext.llm.suffix_dedup import repeated_passages
 from chronotext.llm.token_count import token_counts
@@ -20,6 +21,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op5_bpe": op5_bpe,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
