@@ -12,11 +12,16 @@ from chronotext.llm.bpe import encoded
 from chronotext.llm.decontaminate import index_of, leaks
 from chronotext.llm.embed_dedup import near_duplicate_vectors
 from chronotext.llm.minhash_dedup import near_duplicate_groups
+from chronotext.llm.secret_scan import secrets
 from chronotext.llm.suffix_dedup import repeated_passages
 from chronotext.llm.token_count import token_counts
 from chronotext.llm.toxicity import model_for, toxic_spans
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scans": op1_secret_scans,
     "op2_token_counts": op2_token_counts,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op5_bpe": op5_bpe,
