@@ -11,6 +11,7 @@ from chronotext.llm._spark import table
 from chronotext.llm.bpe import encoded
 from chronotext.llm.decontaminate import index_of, leaks
 from chronotext.llm.embed_dedup import near_duplicate_vectors
+from chronotext.llm.license_scan import licenses
 from chronotext.llm.minhash_dedup import near_duplicate_groups
 from chronotext.llm.secret_scan import secrets
 from chronotext.llm.suffix_dedup import repeated_passages
@@ -30,6 +31,10 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_token_counts": op2_token_counts,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
+    "op4_license_scans": op4_license_scans,
     "op5_bpe": op5_bpe,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,

@@ -27,15 +27,15 @@ BEFORE, BODY, AFTER = 32, 56, 12
 MIN_RUN = 12
 MIN_RECALL = 0.995
 _RUN = r"[A-Za-z0-9+/_=.~\-]"
-# a run of >= MIN_RUN signs with a digit; a value assigned to a telling name; a key header
+# a run of >= MIN_RUN signs with a digit or a capital after a small letter; a value assigned to a telling name; a key header
 CANDIDATE = re.compile(
     rf"""(?P<header>-----BEGIN\ [A-Z ]*PRIVATE\ KEY-----)
-    |(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)[A-Za-z_]{{0,12}}["']?\s{{0,3}}(?::=|=>|=|:)\s{{0,3}}["']?(?P<named>[^\s"'<>]{{6,}})
-    |(?<![A-Za-z0-9+/_=.~\-])(?P<run>(?=[A-Za-z+/_=.~\-]*[0-9]){_RUN}{{{MIN_RUN},}})""",
+    |(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)[A-Za-z_]{{0,12}}["']?\s{{0,3}}(?::=|=>|=|:)\s{{0,3}}["']?(?!-----BEGIN)(?P<named>[^\s"'<>]{{6,}})
+    |(?<![A-Za-z0-9+/_=.~\-])(?P<run>(?={_RUN}*?(?:[0-9]|[a-z][A-Z])){_RUN}{{{MIN_RUN},}})""",
     re.X,
 )
 # what any candidate has; Arrow's matcher passes over other texts at a few nanoseconds a byte
-HINT = r"[0-9]|(?i:pass|pwd|secret|token|key|auth|credential)"
+HINT = r"[0-9]|[a-z][A-Z]|(?i:pass|pwd|secret|token|key|auth|credential)"
 KINDS = "abcdefghijklmnopqrstuvwxyz0123456789 .,:;=_-+/\"'@%#$&*!?()[]{}<>|\\~\n"
 _CODE = np.full(256, len(KINDS) + 2, dtype=np.int64)
 for _i, _c in enumerate(KINDS):
@@ -203,7 +203,7 @@ def labelled_findings(n: int, seed: int) -> tuple[list[str], list[tuple[int, int
             lambda: ("", some("low", 5, 12) + "-" + some("low", 4, 9) + "-" + some("d", 1, 4), ""), lambda: ("", some("low", 10, 30) + some("d", 1, 2), ""),
             lambda: ("data:image/png;base64,", some("b64", 40, 120), ""), lambda: ("version ", ".".join(some("d", 1, 2) for _ in range(3)) + "-beta." + some("d", 1, 4), ""),
             lambda: (one(["token", "password", "secret", "api_key"]) + one([" = ", ": ", "="]), one(["${TOKEN}", "<your-token>", "os.environ", "changeme", "example", "required", "xxxxxxxxxxxx", "********", "getenv(TOKEN)", "null,null"]), ""),
-            lambda: (one(["token", "auth", "password", "secret"]) + ": ", some("low", 6, 14), ""), lambda: ("", "=" * 9 + some("d", 1, 3) + "=" * 9, ""), lambda: ("ISBN ", some("d", 3) + "-" + some("d", 1) + "-" + some("d", 4) + "-" + some("d", 4), ""),
+            lambda: (one(["token", "auth", "password", "secret"]) + ": ", some("low", 6, 14), ""), lambda: ("", "=" * 9 + some("d", 1, 3) + "=" * 9, ""), lambda: ("", "".join(one(syllables[:24]).capitalize() for _ in range(r.integers(4, 9))), ""), lambda: ("ISBN ", some("d", 3) + "-" + some("d", 1) + "-" + some("d", 4) + "-" + some("d", 4), ""),
             lambda: ("", one(["v", "file_", "img_"]) + some("d", 8, 14) + one([".png", ".txt", ".json"]), ""), lambda: ("", word().strip(".,!%&*#") + some("d", 1, 4) + word().strip(".,!%&*#") + word().strip(".,!%&*#"), ""),
         ])()
 
@@ -276,7 +276,7 @@ def secrets(docs: DataFrame, net: Net | None = None, id_col: str = "doc_id", tex
     """(doc_id, start, end, kind, probability) of each secret, in characters of the text.
 
     kind: "named" (a value of a telling name), "run" or "header".  Texts without a
-    digit or a telling word are passed over.
+    digit, a capital inside a word or a telling word are passed over.
 
     Null and empty texts have no rows; null ids stay null; repeated rows each
     give theirs.  Whole texts are scanned; of a candidate longer than the
