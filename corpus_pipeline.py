@@ -1,8 +1,69 @@
-"""A corpus through five stages, each on all that its predecessor kept."""
+"""A corpus of documents through five stages, each over all rows that its predecessor kept.
 
-STAGES = []
-ORACLE_SQL = None
+Order: cheap row-local rejection first (toxic documents), then the one stage
+that exchanges data (near copies), then two row-local stages over what is left
+(benchmark passages, secrets), then encoding.  Each stage's rows are written as
+Parquet and read again as the next one's documents.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from chronotext.llm import bpe, decontaminate, minhash_dedup, secret_scan, toxicity
+from chronotext.llm._spark import table, written
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go; null texts stay."""
+    return toxicity.drop_toxic(docs, toxicity.model_for(spark, sf_dir))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: that of the least doc_id."""
+    return minhash_dedup.drop_near_duplicates(docs)
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark text within the edit budget go."""
+    return decontaminate.drop_leaks(docs, decontaminate.index_of(table(spark, sf_dir, "benchmark")))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; all documents stay and n_chars follows the text."""
+    return secret_scan.redact_secrets(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, round_trip) of each document that is left."""
+    return bpe.encoded(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", without_toxic),
+    ("minhash_near_dedup", without_near_copies),
+    ("benchmark_decontamination", without_leaks),
+    ("secret_scans", without_secrets),
+    ("bpe", encode),
+]
+
+#: The stages hold trained models, hash minima and a merge loop, which SQL can't express.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage.
+
+    Nulls in any column pass through (null texts are in no group, are never
+    toxic and have null ids); of repeated rows of a doc_id one stays; an empty
+    table of documents gives no rows; extra columns are carried to the last
+    stage, which drops them.
+    """
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
