@@ -1,5 +1,465 @@
-"""All queries over the driver's tables, and the SQL that gives the same rows."""
+"""All queries over the driver's tables, and the SQL that gives the same rows.
 
-QUERIES = {}
-SQL = {}
-FLAGSHIP = None
+documents are transcripts, conversations speeches in parts, events activity
+scores per user, embeddings frames of scores per label, orders intervals per
+customer.  Every query runs over its whole tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronotext.functions import frames as fr
+from chronotext.functions import text as tx
+from chronotext.operators import ctc, intervals, match, segments, tokens
+from chronotext.plans import pipelines
+from chronotext import schema
+from chronotext.sources.audio import failed
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+RATE = 14.7  # characters a second that a transcript is read at
+ONSET, OFFSET, SIZE = 100.0, 20.0, 259200.0
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _seconds(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6)
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "events").select("user_id", _seconds("ts").alias("ts"), F.col("value").alias("score"))
+
+
+# --- SQL that several queries share -------------------------------------------------------------------------------------
+
+_TOKENS = r"""
+w AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS ws, regexp_extract_all(text, '\s+') AS gs FROM documents),
+u AS (SELECT doc_id, unnest(ws) AS t, unnest(gs) AS g, unnest(range(len(ws))) AS i FROM w),
+c AS (SELECT doc_id, i, t, coalesce(sum(length(t) + coalesce(length(g), 0)) OVER (PARTITION BY doc_id ORDER BY i
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS s FROM u WHERE t IS NOT NULL),
+n AS (SELECT doc_id, i, t, s, regexp_replace(lower(t), '[^\p{L}\p{N}_\s]', '', 'g') AS x FROM c),
+tok AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS tok_pos, x AS normalized_token, t AS text,
+        s AS start_char, (s + length(t))::INTEGER AS end_char FROM n WHERE x <> '')"""
+_PIECES = r"list_filter(string_split(regexp_replace(lower(t), '[^\p{L}\p{N}_\s]', ' ', 'g'), ' '), lambda y: y <> '')"
+_EXTENDED = """
+ext AS (SELECT tok.*, coalesce(lead(tok.start_char) OVER (PARTITION BY tok.doc_id ORDER BY tok_pos), length(d.text))::INTEGER AS ext,
+        d.text AS doc_text FROM tok JOIN documents d USING (doc_id))"""
+_SENTENCES = r"""
+sm AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[^.!?\n]*(?:[.!?]+["'')\]]*|\n|\z)\s*'), lambda x: length(x) > 0) AS l FROM documents),
+su AS (SELECT doc_id, unnest(l) AS x, unnest(range(len(l)))::INTEGER AS seg_pos FROM sm),
+sent AS (SELECT doc_id, seg_pos, (sum(length(x)) OVER (PARTITION BY doc_id ORDER BY seg_pos) - length(x))::INTEGER AS a,
+         (sum(length(x)) OVER (PARTITION BY doc_id ORDER BY seg_pos))::INTEGER AS b FROM su)"""
+_TIMED = f"""
+timed AS (SELECT *, d.n_chars / {RATE} / count(*) OVER (PARTITION BY doc_id) AS step FROM (SELECT e.*, n_chars FROM ext e JOIN documents USING (doc_id)) d),
+times AS (SELECT doc_id, tok_pos, start_char, ext, substr(doc_text, start_char + 1, ext - start_char) AS full_text,
+          0.0 + tok_pos * step AS t0, 0.0 + (tok_pos + 1) * step AS t1 FROM timed)"""
+_SEGMENTS = f"""WITH {_TOKENS}, {_EXTENDED}, {_SENTENCES}, {_TIMED},
+st AS (SELECT s.doc_id, seg_pos, min(tok_pos) AS st FROM sent s JOIN times t ON s.doc_id = t.doc_id AND t.start_char <= s.a AND s.a < t.ext GROUP BY ALL),
+en AS (SELECT s.doc_id, seg_pos, min(tok_pos) AS en FROM sent s JOIN times t ON s.doc_id = t.doc_id AND t.start_char < s.b AND s.b <= t.ext GROUP BY ALL),
+seg AS (SELECT s.doc_id, s.seg_pos, st, en, least(st, en) AS low, greatest(st, en) AS high FROM sent s LEFT JOIN st USING (doc_id, seg_pos) LEFT JOIN en USING (doc_id, seg_pos)),
+ok AS (SELECT *, st IS NOT NULL AND en IS NOT NULL AND low > coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY seg_pos), -1) AS fine,
+       coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY seg_pos), -1) AS before FROM seg),
+good AS (SELECT * FROM (SELECT *, bool_and(fine) OVER (PARTITION BY doc_id ORDER BY seg_pos) AS valid FROM ok) x WHERE valid),
+res AS (SELECT g.doc_id, g.seg_pos, round(min(CASE WHEN tok_pos = st THEN t0 END), 5) AS start, round(max(CASE WHEN tok_pos = en THEN t1 END), 5) AS "end",
+        round(max(CASE WHEN tok_pos = en THEN t1 END) - min(CASE WHEN tok_pos = st THEN t0 END), 5) AS duration,
+        string_agg(CASE WHEN tok_pos BETWEEN st AND en THEN full_text END, '' ORDER BY tok_pos) AS text, 0.0::DOUBLE AS score, count(*)::INTEGER AS n_words
+        FROM good g JOIN times t ON g.doc_id = t.doc_id AND t.tok_pos > g.before AND t.tok_pos <= g.high GROUP BY ALL)"""
+_REGIONS = f"""
+x AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, CASE WHEN value > {ONSET} THEN 1 WHEN value < {OFFSET} THEN 0 END AS c FROM events),
+y AS (SELECT *, coalesce(last_value(c IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS s FROM x),
+z AS (SELECT *, coalesce(lag(s) OVER (PARTITION BY user_id ORDER BY t), 0) AS p FROM y),
+v AS (SELECT *, (sum(CASE WHEN s = 1 AND p = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) - 1)::INTEGER AS region FROM z),
+reg AS (SELECT user_id, region, min(t) AS a, max(t) AS b FROM v WHERE s = 1 OR p = 1 GROUP BY ALL)"""
+
+
+def _packed(first_end: str) -> str:
+    return f"""WITH RECURSIVE {_REGIONS},
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY a, b) AS rn FROM reg),
+f AS (SELECT user_id, 0::BIGINT AS rn, a AS cs, {first_end} AS ce, 0 AS held, false AS flush, 0.0::DOUBLE AS fs, 0.0::DOUBLE AS fe, 0 AS fh FROM r WHERE rn = 1
+      UNION ALL
+      SELECT user_id, rn, CASE WHEN fl THEN a ELSE cs END, b, CASE WHEN fl THEN 1 ELSE held + 1 END, fl, cs, ce, held
+      FROM (SELECT f.user_id, r.rn, f.cs, f.ce, f.held, r.a, r.b, (r.b - f.cs > {SIZE} AND f.ce - f.cs > 0) AS fl FROM f JOIN r ON r.user_id = f.user_id AND r.rn = f.rn + 1) q),
+o AS (SELECT user_id, rn, fs AS a, fe AS b, fh AS n FROM f WHERE flush
+      UNION ALL SELECT user_id, rn + 1, cs, ce, held FROM (SELECT *, max(rn) OVER (PARTITION BY user_id) AS last FROM f) q WHERE rn = last),
+chunks AS (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY rn) - 1)::INTEGER AS chunk_pos, a, b, n::INTEGER AS n_segments FROM o)"""
+
+
+def _logits_sql(n: str) -> str:
+    x = f"greatest({n}, {fr.receptive_field()})"
+    for k, s in zip(fr.KERNELS, fr.STRIDES):
+        x = f"(({x} - {k}) // {s} + 1)"
+    return x
+
+
+def _output_logits_sql(n: str, chunk: float = 30) -> str:
+    whole = int(chunk * fr.SAMPLE_RATE)
+    rest = f"({n} % {whole})"
+    return f"(({n} // {whole}) * {_logits_sql(str(whole))} + CASE WHEN {rest} > 0 THEN {_logits_sql(rest)} ELSE 0 END)"
+
+
+# --- text --------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_TOKENS} SELECT * FROM tok")
+def token_map(spark: SparkSession, d: str) -> DataFrame:
+    return tx.token_map(_t(spark, d, "documents"), ["doc_id"])
+
+
+@query(f"WITH {_TOKENS}, {_EXTENDED} SELECT doc_id, tok_pos, ext AS end_char_extended, substr(doc_text, start_char + 1, ext - start_char) AS text_span_full FROM ext")
+def token_deletions(spark: SparkSession, d: str) -> DataFrame:
+    return tx.token_map(_t(spark, d, "documents"), ["doc_id"], deletions=True).select("doc_id", "tok_pos", "end_char_extended", "text_span_full")
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) AS normalized FROM documents")
+def normalized_text(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", tx.normalized_text("text").alias("normalized"))
+
+
+def _spaced(m) -> str:
+    return m.group().lower()
+
+
+_SPLITTING = [(r"\S+", _spaced), (r"[^\w\s]", " ")]
+
+
+@query(
+    f"""WITH {_TOKENS.replace(", 'g') AS x FROM c", ", 'g') AS x, " + _PIECES + " AS ps FROM c")},
+p AS (SELECT n.*, len(ps) AS k, sum(len(ps)) OVER (PARTITION BY doc_id ORDER BY i) - len(ps) AS first, n_chars / {RATE} / sum(len(ps)) OVER (PARTITION BY doc_id) AS step
+      FROM n JOIN documents USING (doc_id) WHERE len(ps) > 0)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS tok_pos, array_to_string(ps, ' ') AS normalized_tokens, t AS text, s AS start_char,
+       (s + length(t))::INTEGER AS end_char, round(first * step, 5) AS start_time, round((first + k) * step, 5) AS end_time, 0.0::DOUBLE AS score FROM p"""
+)
+def multitoken_merge(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents").withColumn("sec", F.col("n_chars") / RATE)
+    t = tx.token_map_with(docs, _SPLITTING, ["doc_id", "sec"])
+    timed = tokens.interpolate_times(t, ["doc_id"], F.lit(0.0), "sec").drop("sec")
+    merged = tokens.merge_multitoken(timed, ["doc_id"])
+    return merged.withColumn("start_time", F.round("start_time", 5)).withColumn("end_time", F.round("end_time", 5))
+
+
+@query(f"WITH {_SENTENCES} SELECT doc_id, seg_pos, a AS start_char, b AS end_char FROM sent")
+def sentence_spans(spark: SparkSession, d: str) -> DataFrame:
+    return tx.sentence_spans(_t(spark, d, "documents"), ["doc_id"])
+
+
+@query()
+def span_rewrite(spark: SparkSession, d: str) -> DataFrame:
+    """General span map: remarks, lone signs, symbols and abbreviations expanded to several words."""
+    rules = [*tx.expansions({"%": " procent ", "&": " och ", "$": " dollar ", "*": ""}), *tx.TRANSCRIPT_RULES]
+    return tx.token_map_with(_t(spark, d, "documents"), rules, ["doc_id"])
+
+
+@query(
+    """WITH ch AS (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents), l AS (SELECT c FROM ch WHERE length(c) = 1 AND lower(c) <> upper(c))
+SELECT CASE WHEN count(*) = 0 THEN 'lower' WHEN bool_and(c = lower(c)) THEN 'lower' WHEN bool_and(c = upper(c)) THEN 'upper' ELSE 'mixed' END AS "case" FROM l"""
+)
+def vocab_case(spark: SparkSession, d: str) -> DataFrame:
+    chars = _t(spark, d, "documents").select(F.explode(F.split("text", "")).alias("token")).distinct()
+    return tx.vocabulary_case(chars)
+
+
+@query("SELECT doc_id, upper(replace(text, chr(10), ' ')) AS folded FROM documents WHERE text NOT LIKE '%ß%'")
+def fold_case(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents").where(~F.col("text").contains("ß"))
+    return docs.select("doc_id", tx.fold_case(tx.no_leading_space("text"), "upper").alias("folded"))
+
+
+# --- segments ---------------------------------------------------------------------------------------------------------------
+
+
+def _fallback(spark: SparkSession, d: str) -> DataFrame:
+    return pipelines.fallback_segments(_t(spark, d, "documents"), ["doc_id"], F.lit(0.0), F.col("n_chars") / RATE)
+
+
+@query(f"{_SEGMENTS} SELECT * FROM res")
+def segment_fallback(spark: SparkSession, d: str) -> DataFrame:
+    return _fallback(spark, d).withColumn("n_words", F.size("words")).drop("words")
+
+
+@query(f"{_SEGMENTS} SELECT doc_id::VARCHAR || '-' || seg_pos::VARCHAR AS id, doc_id::VARCHAR AS audio_path, seg_pos, start, \"end\", duration, text, n_words FROM res")
+def nest_json(spark: SparkSession, d: str) -> DataFrame:
+    """Segments nested into one JSON document per file, read again by the schema and flattened."""
+    seg = _fallback(spark, d).withColumn("audio_path", F.col("doc_id").cast("string")).withColumn("speech_pos", F.lit(0))
+    seg = seg.withColumn("id", segments.segment_id("doc_id", "seg_pos"))
+    speech = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("audio_path"), F.lit(0).alias("speech_pos"), F.lit(16000).alias("sample_rate"), F.lit(0.0).alias("start"))
+    text = schema.nest(speech, segments=seg).select(F.to_json(F.struct("*")).alias("j"))
+    back = text.select(F.from_json("j", schema.FILE).alias("f")).select("f.*")
+    flat = schema.segments_of(schema.speeches_of(back))
+    return flat.select("id", "audio_path", "seg_pos", "start", "end", "duration", "text", F.size("words").alias("n_words"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def failed_files(spark: SparkSession, d: str) -> DataFrame:
+    return failed(_t(spark, d, "documents").select("doc_id"), _t(spark, d, "labels"), "doc_id")
+
+
+# --- frames -----------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, n_chars / {RATE} AS e, unnest(range(ceil(n_chars / {RATE} / 30)::BIGINT)) AS k FROM documents WHERE n_chars > 0)
+SELECT doc_id, k::INTEGER AS slice_pos, 0.0 + k * 30.0 AS start_sec, least(0.0 + (k + 1) * 30.0, e) AS end_sec,
+       trunc((least(0.0 + (k + 1) * 30.0, e) - (0.0 + k * 30.0)) * 16000)::BIGINT AS audio_frames FROM s"""
+)
+def slice_specs(spark: SparkSession, d: str) -> DataFrame:
+    s = _t(spark, d, "documents").select("doc_id", F.lit(0.0).alias("start"), (F.col("n_chars") / RATE).alias("end"))
+    return fr.speech_slices(s).select("doc_id", "slice_pos", "start_sec", "end_sec", "audio_frames")
+
+
+@query(f"WITH n AS (SELECT l_orderkey, l_linenumber, trunc(l_extendedprice * 10)::BIGINT AS audio_frames FROM lineitem) SELECT *, {_output_logits_sql('audio_frames')}::BIGINT AS num_logits FROM n")
+def frame_logits(spark: SparkSession, d: str) -> DataFrame:
+    x = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * 10).cast("long").alias("audio_frames"))
+    return fr.with_num_logits(x)
+
+
+@query("SELECT vec_id, unnest(range(64))::INTEGER AS i, round(exp(unnest(embedding)::DOUBLE - m) / s, 6) AS p FROM (SELECT *, list_max(embedding)::DOUBLE AS m, list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE))) AS s FROM embeddings) q")
+def softmax_frames(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "embeddings").select("vec_id", F.posexplode(fr.softmax("embedding")).alias("i", "p"))
+    return e.select("vec_id", "i", F.round("p", 6).alias("p"))
+
+
+@query("SELECT vec_id, len(embedding)::INTEGER AS size, 80 AS padded, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings")
+def padded_frames(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "embeddings").select("vec_id", F.size("embedding").alias("size"), fr.pad_exactly(F.col("embedding").cast("array<double>"), 80).alias("x"))
+    return e.select("vec_id", "size", F.size("x").alias("padded"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
+
+
+@query("SELECT event_id, format('{:02d}:{:02d}:{:02d},{:03d}', floor(value)::BIGINT // 3600, (floor(value)::BIGINT % 3600) // 60, floor(value)::BIGINT % 60, floor((value - floor(value)) * 1000)::BIGINT) AS stamp FROM events")
+def timestamp_format(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "events").select("event_id", fr.timestamp_text("value").alias("stamp"))
+
+
+@query(f"SELECT event_id, coalesce(nullif(event_type, 'view'), event_id::VARCHAR) AS speech_id, value / 1000 AS start, value / 500 AS \"end\", value / 500 - value / 1000 AS duration, trunc((value / 500 - value / 1000) * 16000)::BIGINT AS audio_frames, {fr.receptive_field()}::BIGINT AS field FROM events")
+def chunk_records(spark: SparkSession, d: str) -> DataFrame:
+    """Chunk structs, ids filled with positions, and the receptive field folded from array columns."""
+    e = _t(spark, d, "events")
+    field = fr.receptive_field_of(F.array(*map(F.lit, fr.KERNELS)), F.array(*map(F.lit, fr.STRIDES)))
+    own = fr.speech_id_or_position(F.nullif(F.col("event_type"), F.lit("view")), "event_id")
+    return e.select("event_id", own.alias("speech_id"), fr.chunk_record(F.col("value") / 1000, F.col("value") / 500).alias("c"), field.alias("field")).select("event_id", "speech_id", "c.*", "field")
+
+
+# --- activity ---------------------------------------------------------------------------------------------------------------
+
+
+@query(f'WITH {_REGIONS} SELECT user_id, region, a AS start, b AS "end" FROM reg')
+def hysteresis_regions(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.hysteresis_regions(_scores(spark, d), ["user_id"], onset=ONSET, offset=OFFSET)
+
+
+@query()
+def mincut_regions(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.mincut_regions(_scores(spark, d), ["user_id"], onset=ONSET, offset=OFFSET, max_duration=SIZE)
+
+
+@query(
+    """WITH i AS (SELECT o_custkey, epoch_us(o_orderdate::TIMESTAMP) / 1e6 / 86400.0 - 1.0 AS a, epoch_us(o_orderdate::TIMESTAMP) / 1e6 / 86400.0 + o_totalprice / 5000.0 + 2.0 AS b FROM orders),
+m AS (SELECT *, max(b) OVER (PARTITION BY o_custkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
+g AS (SELECT *, sum(CASE WHEN reach IS NULL OR (a > reach AND a - reach >= 5.0) THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM m),
+r AS (SELECT o_custkey, k, min(a) AS a, max(b) AS b FROM g GROUP BY ALL)
+SELECT o_custkey, round(a, 6) AS start, round(b, 6) AS "end" FROM r WHERE b - a >= 10.0"""
+)
+def interval_merge(spark: SparkSession, d: str) -> DataFrame:
+    day = _seconds("o_orderdate") / 86400.0
+    i = _t(spark, d, "orders").select("o_custkey", day.alias("start"), (day + F.col("o_totalprice") / 5000.0).alias("end"))
+    m = intervals.merge_intervals(i, ["o_custkey"], pad_on=1.0, pad_off=2.0, min_off=5.0, min_on=10.0)
+    return m.select("o_custkey", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
+def _chunks(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    return intervals.pack_chunks(intervals.hysteresis_regions(_scores(spark, d), ["user_id"], onset=ONSET, offset=OFFSET), ["user_id"], SIZE, mode)
+
+
+_CHUNKS = 'SELECT user_id, chunk_pos, a AS start, b AS "end", n_segments FROM chunks'
+
+
+@query(f"{_packed('0.0::DOUBLE')} {_CHUNKS}")
+def chunk_pack(spark: SparkSession, d: str) -> DataFrame:
+    return _chunks(spark, d, "a").withColumn("n_segments", F.size("segments")).drop("segments")
+
+
+@query(f"{_packed('b')} {_CHUNKS}")
+def chunk_pack_b(spark: SparkSession, d: str) -> DataFrame:
+    return _chunks(spark, d, "b").withColumn("n_segments", F.size("segments")).drop("segments")
+
+
+@query()
+def vad_files(spark: SparkSession, d: str) -> DataFrame:
+    """Whole files without speeches: min-cut regions packed into chunks, one speech around them."""
+    speeches, chunks = pipelines.vad(_scores(spark, d), chunk_size=SIZE, onset=ONSET, offset=OFFSET, file_key="user_id")
+    n = chunks.groupBy("user_id").agg(F.count("*").alias("n_chunks"), F.sum("audio_frames").alias("frames"))
+    return speeches.join(n, "user_id").select("user_id", "speech_id", "start", "end", "duration", "n_chunks", "frames")
+
+
+@query()
+def vad_speeches(spark: SparkSession, d: str) -> DataFrame:
+    """Activity within given speeches: halves of each user's span, the second without a duration."""
+    s = _scores(spark, d)
+    ends = s.groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).withColumn("m", (F.col("a") + F.col("b")) / 2)
+    halves = ends.select("user_id", F.explode(F.array(F.struct(F.lit("0").alias("id"), F.col("a").alias("s"), F.col("m").alias("e")), F.struct(F.lit("1").alias("id"), F.col("m").alias("s"), F.lit(None).cast("double").alias("e")))).alias("x"))
+    speeches = halves.select("user_id", F.col("x.id").alias("speech_id"), F.col("x.s").alias("start"), F.col("x.e").alias("end"), (F.col("x.e") - F.col("x.s")).alias("duration"))
+    _, chunks = pipelines.vad(s, speeches, SIZE, ONSET, OFFSET, "user_id")
+    return chunks.withColumn("n_segments", F.size("segments")).drop("segments")
+
+
+@query(f"{_packed('0.0::DOUBLE')}, n AS (SELECT user_id, trunc((b - a) * 16000)::BIGINT AS f FROM chunks) SELECT user_id, round(sum(f) / sum({_output_logits_sql('f')}), 6) AS frames_per_logit FROM n GROUP BY ALL")
+def frames_per_logit(spark: SparkSession, d: str) -> DataFrame:
+    c = _chunks(spark, d, "a").withColumn("audio_frames", fr.seconds_to_frames(F.col("end") - F.col("start")))
+    return ctc.frames_per_logit(c, ["user_id"]).select("user_id", F.round("frames_per_logit", 6).alias("frames_per_logit"))
+
+
+@query(
+    """WITH c AS (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) THEN 1 ELSE 0 END AS new FROM events),
+g AS (SELECT *, (sum(new) OVER (PARTITION BY user_id ORDER BY ts) - 1)::INTEGER AS run_id FROM c)
+SELECT user_id, run_id, any_value(event_type) AS event_type, count(*) AS n, round(max(value), 4) AS top FROM g GROUP BY user_id, run_id"""
+)
+def speech_groups(spark: SparkSession, d: str) -> DataFrame:
+    g = tokens.run_ids(_t(spark, d, "events"), ["user_id"], "ts", ["event_type"])
+    return g.groupBy("user_id", "run_id").agg(F.first("event_type").alias("event_type"), F.count("*").alias("n"), F.round(F.max("value"), 4).alias("top"))
+
+
+# --- alignment ---------------------------------------------------------------------------------------------------------------
+
+LETTERS = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")} | {"<blank>": 0, "|": 27, "<unk>": 28}
+TARGET = [3, 7, 7, 12]
+
+
+@query(
+    r"""WITH n AS (SELECT doc_id, n_chars, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) AS t FROM documents),
+k AS (SELECT doc_id, n_chars, length(t) AS l, string_split(regexp_replace(replace(t, ' ', '|'), '[^a-z|]', '?', 'g'), '') AS c FROM n),
+r AS (SELECT doc_id, (n_chars * 1.05)::INTEGER AS t, CASE WHEN l = 0 THEN 0 ELSE l END::INTEGER AS l,
+      CASE WHEN l = 0 THEN 0 ELSE len(list_filter(list_zip(c[1:len(c) - 1], c[2:]), lambda p: p[1] = p[2])) END::INTEGER AS r FROM k)
+SELECT doc_id, l > 0 AND t >= l + r AS can_align, t AS frames, l AS length, r AS repeats FROM r"""
+)
+def ctc_feasible(spark: SparkSession, d: str) -> DataFrame:
+    n = _t(spark, d, "documents").select("doc_id", F.round(F.col("n_chars") * 1.05).cast("int").alias("t"), ctc.target_ids(tx.normalized_text("text"), {k: v for k, v in LETTERS.items() if len(k) == 1}, 28).alias("ids"))
+    return n.select("doc_id", ctc.alignable("ids", "t").alias("a")).select("doc_id", "a.*")
+
+
+def _score_sql() -> str:
+    ext = [0]
+    for i in TARGET:
+        ext += [i, 0]
+    ways = []
+    for s, label in enumerate(ext):
+        w = [f"a[{s + 1}]"] + [f"a[{s}]"] * (s >= 1) + [f"a[{s - 1}]"] * (s >= 2 and label != 0 and label != ext[s - 2])
+        ways.append(f"{f'greatest({", ".join(w)})' if len(w) > 1 else w[0]} + e[{label + 1}]::DOUBLE")
+    first = ", ".join(f"e[{ext[s] + 1}]::DOUBLE" if s < 2 else "'-infinity'::DOUBLE" for s in range(len(ext)))
+    n = len(ext)
+    return f"""WITH RECURSIVE f AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS t, embedding AS e FROM embeddings),
+r AS (SELECT label, t, [{first}] AS a FROM f WHERE t = 1 UNION ALL SELECT r.label, f.t, [{", ".join(ways)}] FROM r JOIN f ON f.label = r.label AND f.t = r.t + 1)
+SELECT label, t::INTEGER AS frames, round(greatest(a[{n}], a[{n - 1}]), 6) AS score FROM r WHERE (label, t) IN (SELECT (label, max(t)) FROM f GROUP BY label)"""
+
+
+def _emission(spark: SparkSession, d: str) -> DataFrame:
+    listed = F.array_sort(F.collect_list(F.struct("vec_id", "embedding")))
+    return _t(spark, d, "embeddings").groupBy("label").agg(F.transform(listed, lambda x: x.embedding).alias("emission"))
+
+
+@query(_score_sql())
+def ctc_score(spark: SparkSession, d: str) -> DataFrame:
+    return _emission(spark, d).select("label", F.size("emission").alias("frames"), F.round(ctc.best_score("emission", TARGET), 6).alias("score"))
+
+
+@query()
+def ctc_path_words(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of the words of one text on the best path through each label's frames."""
+    words = F.split(F.lit("it is a far far better thing"), " ")
+    return ctc.align_words(_emission(spark, d).withColumn("words", words), ["label"], LETTERS, start_wildcard=True, end_wildcard=True)
+
+
+def _aligned(spark: SparkSession, d: str, strategy: str) -> DataFrame:
+    """Speeches are labels, their frames the softmax of the embeddings, their texts the benchmark's in turn."""
+    e = _emission(spark, d).select(F.lit("files/a.wav").alias("audio_path"), F.col("label").cast("string").alias("speech_id"), F.transform("emission", lambda v: fr.softmax(v)).alias("emission"))
+    b = _t(spark, d, "benchmark").where("item_id is not null").select((F.col("item_id") % 1000).cast("string").alias("speech_id"), F.substring("text", 1, 30).alias("text"))
+    units = e.join(b, "speech_id").select("audio_path", "speech_id", "text", F.lit(2.0).alias("start"), (F.size("emission") * 0.02 + 2.0).alias("end"), (F.size("emission") * 320).cast("long").alias("audio_frames"), F.lit(0).alias("chunk_pos"), F.size("emission").alias("num_logits"))
+    if strategy == "chunk":
+        e = e.withColumn("chunk_pos", F.lit(0))
+    out = pipelines.align(units, e, LETTERS, strategy=strategy, start_wildcard=strategy == "speech")
+    return out.withColumn("n_words", F.size("words")).drop("words")
+
+
+@query()
+def align_speech(spark: SparkSession, d: str) -> DataFrame:
+    return _aligned(spark, d, "speech")
+
+
+@query()
+def align_chunk(spark: SparkSession, d: str) -> DataFrame:
+    return _aligned(spark, d, "chunk")
+
+
+# --- location ----------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    r"""WITH w AS (SELECT conv_id, turn, regexp_extract_all(text, '\S+') AS ws FROM conversations), u AS (SELECT conv_id, turn, unnest(ws) AS t, unnest(range(len(ws))) AS i FROM w)
+SELECT conv_id, (row_number() OVER v - 1)::INTEGER AS word_pos, t AS text, sum(length(t)) OVER v - length(t) AS start_char, sum(length(t)) OVER v AS end_char FROM u WINDOW v AS (PARTITION BY conv_id ORDER BY turn, i)"""
+)
+def haystack_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Words of conversations, nested as files, flattened again and placed in the joined text."""
+    unknown = [F.lit(None).cast("double").alias(n) for n in ("start", "end", "score")]
+    words = F.transform(F.filter(F.split("text", r"\s+"), lambda x: F.length(x) > 0), lambda x: F.struct(x.alias("text"), *unknown))
+    speech = F.struct("turn", F.array(F.struct(words.alias("words"))).alias("alignments"))
+    files = _t(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(speech)).alias("speeches"))
+    flat = match.flatten_words(files, "conv_id")
+    return match.word_offsets(flat, ["conv_id"]).select("conv_id", "word_pos", "text", "start_char", "end_char")
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents").select("doc_id", F.col("text").alias("haystack"))
+    items = _t(spark, d, "benchmark").select("item_id", F.col("text").alias("needle"))
+    return match.candidate_pairs(items, docs, "item_id", "doc_id")
+
+
+@query(
+    r"""WITH b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM benchmark),
+t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM documents),
+bg AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 3], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM b) x),
+tg AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM t) x),
+s AS (SELECT item_id, doc_id, count(*) AS shared FROM bg JOIN tg USING (g) GROUP BY ALL), n AS (SELECT item_id, count(*) AS k FROM bg GROUP BY ALL)
+SELECT item_id, doc_id, shared FROM s JOIN n USING (item_id) WHERE shared >= greatest(1.0, k * 0.25)"""
+)
+def fuzzy_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("item_id", "doc_id", "shared")
+
+
+def _located(spark: SparkSession, d: str, max_length: int | None) -> DataFrame:
+    """Benchmark texts in documents: shingle candidates, then the best window."""
+    words = _t(spark, d, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: F.length(x) > 0)).alias("word_pos", "text"))
+    hay = match.haystacks(words, ["doc_id"])
+    needles = _t(spark, d, "benchmark").select("item_id", F.regexp_replace("text", r"\s+", "").alias("needle"))
+    pairs = _pairs(spark, d).join(hay, "doc_id").join(needles, "item_id")
+    found = match.fuzzy_locate(pairs, ["item_id", "doc_id"], max_length=max_length)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query()
+def fuzzy_locate(spark: SparkSession, d: str) -> DataFrame:
+    return _located(spark, d, None)
+
+
+@query()
+def fuzzy_long(spark: SparkSession, d: str) -> DataFrame:
+    return _located(spark, d, 60)
+
+
+FLAGSHIP = segment_fallback
