@@ -153,7 +153,7 @@ def unflatten(spans: DataFrame, words: DataFrame, keys: Sequence[str]) -> DataFr
     """
     w = Window.partitionBy(*keys).orderBy("tok_pos")
     first = F.sum("n_chars").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_chars")
-    at = words.where("n_chars > 0").withColumn("__first", first).select(*keys, "tok_pos", F.explode(F.sequence(F.col("__first"), F.col("__first") + F.col("n_chars") - 1)).cast("int").alias("span_pos"))
+    at = words.where("n_chars > 0").withColumn("__first", first).select(*keys, "tok_pos", F.explode(F.sequence(F.col("__first").cast("int"), (F.col("__first") + F.col("n_chars") - 1).cast("int"))).alias("span_pos"))
     return spans.join(at, [*keys, "span_pos"])
 
 
