@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +18,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once: inside a lambda of another function an expression would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def seconds_to_frames(seconds: Column | str, sample_rate: int = SAMPLE_RATE) -> Column:
     """Whole frames in a duration, cut towards zero."""
     return (_col(seconds) * F.lit(sample_rate)).cast("long")
@@ -120,11 +125,11 @@ def pad_exactly(values: Column | str, size: int | Column, fill: float = 0.0) ->
 
 def softmax(values: Column | str) -> Column:
     """Probabilities of an array of scores, the greatest subtracted first; summed in order, in double."""
-    v = F.transform(_col(values), lambda x: x.cast("double"))
-    top = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0).cast("double"), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
+    shares = lambda e: let(F.aggregate(e, F.lit(0.0).cast("double"), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total))
+    return let(
+        F.transform(_col(values), lambda x: x.cast("double")),
+        lambda v: let(F.array_max(v), lambda top: let(F.transform(v, lambda x: F.exp(x - top)), shares)),
+    )
 
 
 def timestamp_text(seconds: Column | str) -> Column:

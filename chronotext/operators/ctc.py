@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronotext.functions.frames import SAMPLE_RATE, output_logits
+from chronotext.functions.frames import SAMPLE_RATE, let, output_logits
 
 
 def _col(c: Column | str) -> Column:
@@ -40,9 +40,9 @@ def count_repeats(ids: Column | str) -> Column:
 
 def alignable(ids: Column | str, frames: Column | str) -> Column:
     """Struct (can_align, frames, length, repeats); an empty target can't be aligned."""
-    ids, frames = _col(ids), _col(frames)
-    n, r = F.size(ids), F.when(F.size(ids) > 0, count_repeats(ids)).otherwise(F.lit(0))
-    return F.struct(((n > 0) & (frames >= n + r)).alias("can_align"), frames.cast("int").alias("frames"), n.alias("length"), r.alias("repeats"))
+    frames = _col(frames)
+    sizes = let(_col(ids), lambda i: F.struct(F.size(i).alias("n"), F.when(F.size(i) > 0, count_repeats(i)).otherwise(F.lit(0)).alias("r")))
+    return let(sizes, lambda s: F.struct(((s.n > 0) & (frames >= s.n + s.r)).alias("can_align"), frames.cast("int").alias("frames"), s.n.alias("length"), s.r.alias("repeats")))
 
 
 def word_time(frame: Column | str, frames_per_logit: Column | str, offset: Column | str = "start", sample_rate: int = SAMPLE_RATE) -> Column:

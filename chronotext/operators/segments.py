@@ -35,8 +35,10 @@ def segment_words(tokens: DataFrame, spans: DataFrame, keys: Sequence[str], stri
     keys = list(keys)
     ordered = Window.partitionBy(*keys).orderBy("tok_pos")
     t = tokens.withColumn("__ord", (F.row_number().over(ordered) - 1).cast("int"))
-    t = t.withColumn("__next", F.first("start_time", ignorenulls=True).over(ordered.rowsBetween(0, Window.unboundedFollowing)))
+    # a frame that ends at the current row is a running value; one that begins there would be computed anew for each row
+    backwards = Window.partitionBy(*keys).orderBy(F.col("tok_pos").desc())
     t = t.withColumn("__prev", F.last("end_time", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    t = t.withColumn("__next", F.last("start_time", ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, 0)))
     token = F.struct("__ord", "end_char_extended", "__next", "__prev")
     none = F.lit(None)
     stream = t.select(*keys, F.col("start_char").alias("__at"), F.lit(0).alias("__kind"), none.cast("int").alias("seg_pos"), none.cast("int").alias("__limit"), token.alias("__tok"))
@@ -70,8 +72,8 @@ def segment_words(tokens: DataFrame, spans: DataFrame, keys: Sequence[str], stri
     rows = t.select(*keys, F.col("__ord").alias("__at"), F.lit(0).alias("__kind"), F.struct(*t.columns).alias("__row"))
     marks = segs.select(*keys, F.col("__high").alias("__at"), F.lit(1).alias("__kind"), seg.alias("__seg"))
     both = rows.unionByName(marks, allowMissingColumns=True)
-    following = Window.partitionBy(*keys).orderBy("__at", "__kind", F.col("__seg.seg_pos")).rowsBetween(0, Window.unboundedFollowing)
-    out = both.withColumn("__seg", F.first("__seg", ignorenulls=True).over(following)).where("__kind = 0 and __seg is not null")
+    latest_first = Window.partitionBy(*keys).orderBy(F.col("__at").desc(), F.col("__kind").desc(), F.col("__seg.seg_pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("__seg", F.last("__seg", ignorenulls=True).over(latest_first)).where("__kind = 0 and __seg is not null")
     inside = (F.col("__row.__ord") >= F.col("__seg.first")) & (F.col("__row.__ord") <= F.col("__seg.last"))
     return out.select(
         *(F.col("__row")[c].alias(c) for c in tokens.columns),

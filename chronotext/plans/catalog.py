@@ -18,6 +18,7 @@ from chronotext.operators import ctc, intervals, match, segments, tokens
 from chronotext.plans import pipelines
 from chronotext import schema
 from chronotext.sources.audio import failed
+from chronotext.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,7 +39,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return read_table(spark, d, name, spread=name == "documents")
 
 
 def _seconds(ts: str) -> Column:
