@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chronotext.sources.tables import read_table
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors see, from spark.checkpoint.dir.
@@ -42,4 +44,4 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name, spread=name == "documents")
