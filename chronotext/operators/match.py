@@ -106,7 +106,8 @@ def locate(needle: str, haystack: str, ends: np.ndarray, threshold: float = 55.0
 
 def locate_long(needle: str, haystack: str, ends: np.ndarray, threshold: float = 55.0, max_length: int = 300) -> tuple[int, int, float] | None:
     """locate(), but of a needle longer than 2 * max_length the head and the tail, each max_length, on their own; their mean score."""
-    if len(needle) <= 2 * max_length:
+    whole = 2 * max_length >= len(needle)
+    if whole:
         return locate(needle, haystack, ends, threshold)
     head = locate(needle[:max_length], haystack, ends, threshold)
     tail = head and locate(needle[-max_length:], haystack, ends, threshold)
