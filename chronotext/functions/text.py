@@ -270,7 +270,7 @@ def _nfkc(m: re.Match) -> str:
 
 DEFAULT_RULES: list[Rule] = [(r"\S+", _nfkc), (r"\S+", _lower), (r"[^\w\s]", ""), (r"\s+", " "), (r"\A\s+|\s+\Z", "")]
 #: drops bracketed remarks, lone punctuation, other punctuation; single spaces; lower case
-TRANSCRIPT_RULES: list[Rule] = [(r"\(.*?\)", ""), (r"\s[^\w\s]\s", " "), (r"[^\w\s]", ""), (r"\s+", " "), (r"\A\s+|\s+\Z", ""), (r"\w+", _lower)]
+TRANSCRIPT_RULES: list[Rule] = [(r"\(.*?\)", ""), (r"\s[^\s\w]\s", " "), (r"[^\s\w]+", ""), (r"\s+", " "), (r"\A\s+|\s+\Z", ""), (r"\w+", _lower)]
 
 
 def expansions(table: dict[str, str]) -> list[Rule]:
