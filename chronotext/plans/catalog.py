@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronotext.functions import frames as fr
@@ -388,10 +388,15 @@ def ctc_path_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _aligned(spark: SparkSession, d: str, strategy: str) -> DataFrame:
-    """Speeches are labels, their frames the softmax of the embeddings, their texts the benchmark's in turn."""
-    e = _emission(spark, d).select(F.lit("files/a.wav").alias("audio_path"), F.col("label").cast("string").alias("speech_id"), F.transform("emission", lambda v: fr.softmax(v)).alias("emission"))
-    b = _t(spark, d, "benchmark").where("item_id is not null").select((F.col("item_id") % 1000).cast("string").alias("speech_id"), F.substring("text", 1, 30).alias("text"))
-    units = e.join(b, "speech_id").select("audio_path", "speech_id", "text", F.lit(2.0).alias("start"), (F.size("emission") * 0.02 + 2.0).alias("end"), (F.size("emission") * 320).cast("long").alias("audio_frames"), F.lit(0).alias("chunk_pos"), F.size("emission").alias("num_logits"))
+    """Speeches are benchmark items, dealt to the labels in turn; their frames are the softmax of the label's embeddings."""
+    e = _emission(spark, d).select("label", F.transform("emission", lambda v: fr.softmax(v)).alias("emission"))
+    e = e.withColumn("turn", F.row_number().over(Window.orderBy("label")) - 1).withColumn("turns", F.count("*").over(Window.partitionBy()))
+    b = _t(spark, d, "benchmark").where("item_id is not null").select("item_id", "text")
+    b = b.withColumn("rank", F.row_number().over(Window.orderBy("item_id", "text")) - 1).crossJoin(F.broadcast(e.select("turns").limit(1)))
+    dealt = b.withColumn("turn", F.col("rank") % F.col("turns")).drop("turns").join(e.drop("turns"), "turn")
+    dealt = dealt.select(F.lit("files/a.wav").alias("audio_path"), F.concat_ws("-", "label", "item_id").alias("speech_id"), "text", "emission")
+    units = dealt.select("audio_path", "speech_id", "text", F.lit(2.0).alias("start"), (F.size("emission") * 0.02 + 2.0).alias("end"), (F.size("emission") * 320).cast("long").alias("audio_frames"), F.lit(0).alias("chunk_pos"), F.size("emission").alias("num_logits"))
+    e = dealt.select("audio_path", "speech_id", "emission")
     if strategy == "chunk":
         e = e.withColumn("chunk_pos", F.lit(0))
     out = pipelines.align(units, e, LETTERS, strategy=strategy, start_wildcard=strategy == "speech")
