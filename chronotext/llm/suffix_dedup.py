@@ -132,10 +132,8 @@ def _emitter(min_words: int, q: int):
                 new[1:] = (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])
                 run = np.flatnonzero(new)
                 ids = piece.column("id").take(pa.array(owner[run]))
-                # 32 bits suffice within one anchor and one offset from it
-                short = (names[begins] >> U64(32)).astype(np.uint32)
-                offsets = pa.array(np.r_[run, len(begins)] * 4, pa.int32())
-                packed = pa.Array.from_buffers(pa.binary(), len(run), [None, offsets.buffers()[1], pa.py_buffer(short)])
+                offsets = pa.array(np.r_[run, len(begins)] * 8, pa.int32())
+                packed = pa.Array.from_buffers(pa.binary(), len(run), [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(names[begins]))])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(grams[at[run]].view(np.int64)),
@@ -169,8 +167,8 @@ def _sorter(min_words: int):
             rows = rows.take(pa.array(live))
             bucket, ident = bucket[live], ident[live]
             packed = rows.column("names")
-            off = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(live) + 1].astype(np.int64) // 4
-            names = np.frombuffer(packed.buffers()[2], np.uint32)[off[0] : off[-1]]
+            off = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(live) + 1].astype(np.int64) // 8
+            names = np.frombuffer(packed.buffers()[2], U64)[off[0] : off[-1]]
             off = off - off[0]
             size = np.diff(off)
             row = np.repeat(np.arange(len(live)), size)
