@@ -1,16 +1,12 @@
-"""Repeated passages by a suffix array over words, refined bucket by bucket.
-
-Suffixes are those of all documents that begin at a word.  Their initial
-buckets are names of word q-grams; a bucket is refined by the bucket
-identifiers of later offsets (prefix doubling), and each refined identifier is
-used again in the next refinement, until a bucket is one passage of
-`min_words` words.  Identifiers are names of content, alike on all machines, so
-refinement needs no exchange of ranks between them.
-
-Only suffixes that can repeat are sorted: a passage of min_words words that
-occurs twice has its rarest-named q-gram (its anchor) at the same offset in
-both, so suffixes are exchanged once, in runs of one anchor's windows, by the
-name of that anchor; anchors that occur in one document only end there.
+"""Repeated passages by anchored fingerprints of windows of words.
+
+The windows are those of min_words words from every word of every document on,
+named by a 64-bit hash of their words.  A passage of min_words words that
+occurs twice has its least-named q-gram (its anchor) at the same offset in
+both, so windows are exchanged once, in runs of one anchor's windows, by the
+name of that anchor, and grouped by (anchor, offset) and their name in one
+sort.  The query does not order suffixes; `bucket_pointer_refinement` does,
+for one sequence.
 """
 
 from __future__ import annotations
@@ -148,7 +144,7 @@ def _emitter(min_words: int, q: int):
     return emit
 
 
-def _sorter(min_words: int):
+def _sorter(min_words: int, within: bool = False):
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Suffixes of one partition, whose rows come ordered by anchor: refines its buckets, keeps what repeats."""
         held: list[pa.RecordBatch] = []
@@ -159,8 +155,11 @@ def _sorter(min_words: int):
             first = np.r_[True, anchor[1:] != anchor[:-1]]
             bucket = np.cumsum(first) - 1
             start = np.flatnonzero(first)
-            # a bucket within one document holds nothing that other documents have
+            # a bucket of one document (within: of one place of it) holds nothing that repeats
             several = np.minimum.reduceat(ident, start) != np.maximum.reduceat(ident, start)
+            if within:
+                place = rows.column("begin").to_numpy().astype(np.int64) + rows.column("back").to_numpy()
+                several |= np.minimum.reduceat(place, start) != np.maximum.reduceat(place, start)
             live = np.flatnonzero(several[bucket])
             if not len(live):
                 return None
@@ -179,6 +178,10 @@ def _sorter(min_words: int):
             begin = np.flatnonzero(new)
             d = ident[row][order]
             repeats = np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin)
+            base = rows.column("begin").to_numpy().astype(np.int64)
+            if within:
+                place = (base[row] + step)[order]
+                repeats |= np.minimum.reduceat(place, begin) != np.maximum.reduceat(place, begin)
             hit = np.zeros(len(order), bool)
             hit[order] = np.repeat(repeats, np.diff(np.r_[begin, len(order)]))
             if not hit.any():
@@ -187,7 +190,6 @@ def _sorter(min_words: int):
             opens = hit & ~(np.r_[False, hit[:-1]] & (step > 0))
             closes = hit & ~(np.r_[hit[1:], False] & np.r_[step[1:] > 0, False])
             a, b = np.flatnonzero(opens), np.flatnonzero(closes)
-            base = rows.column("begin").to_numpy().astype(np.int64)
             return pa.RecordBatch.from_arrays(
                 [pa.array(ident[row[a]]), pa.array((base[row[a]] + step[a]).astype(np.int32)), pa.array((base[row[b]] + step[b] + min_words).astype(np.int32))],
                 names=["id", "start", "end"],
@@ -225,16 +227,18 @@ def _sorter(min_words: int):
     return sort
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, anchor: int = ANCHOR) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, anchor: int = ANCHOR, within: bool = False) -> DataFrame:
     """(doc_id, start_word, end_word, n_words): passages of at least min_words words that another document has too.
 
+    within: passages that begin at two places of one document are reported as well.
+
     Words are runs of letters and digits of the lower-cased text, counted from 0
     in each document; end_word is exclusive.  Overlapping and touching passages
     of a document are one row.  Every place of every document is a suffix and
     every passage is compared with every other: there is no cap on how often a
     passage occurs.
 
-    A passage that repeats within one document only isn't reported.  Null ids and
+    Unless `within`, a passage that repeats in one document only isn't reported.  Null ids and
     null texts, and texts of fewer words, have no rows.  Repeated rows of one id
     are one document and don't repeat each other.  Ties and copies of any number are
     all reported.  Empty tables give no rows; other columns are ignored.
@@ -245,7 +249,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     suffixes = base.mapInArrow(_emitter(min_words, anchor), "anchor long, id long, begin int, back int, names binary")
     together = suffixes.repartition("anchor").sortWithinPartitions("anchor")
-    runs = together.mapInArrow(_sorter(min_words), "id long, start int, end int")
+    runs = together.mapInArrow(_sorter(min_words, within), "id long, start int, end int")
     w = Window.partitionBy("id").orderBy("start", "end")
     upto = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = runs.withColumn("fresh", F.when(F.col("start") > upto, 1).when(upto.isNull(), 1).otherwise(0))
