@@ -2,7 +2,8 @@
 
 A candidate is a run of signs that secrets are made of and that is long enough,
 or any value assigned to a telling name, or a private-key header.  The network
-sees the candidate with the signs before and after it.  It is trained here, on
+sees the candidate with the signs before and after it, a long one in overlapping
+windows, and the parts of a candidate between delimiters.  It is trained here, on
 labelled findings that are generated from a seed: secrets of common kinds and
 what looks like them but is none (hashes named as checksums, identifiers, card
 and phone numbers, addresses, encoded pictures, long words).
@@ -14,6 +15,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +29,19 @@ BEFORE, BODY, AFTER = 32, 56, 12
 MIN_RUN = 12
 MIN_RECALL = 0.995
 _RUN = r"[A-Za-z0-9+/_=.~\-]"
+_NAMED = r"""(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)[A-Za-z_]{0,12}["']?\s{0,3}(?::=|=>|=|:)\s{0,3}["']?(?!-----BEGIN)(?P<named>[^\s"'<>]{6,})"""
 # a run of >= MIN_RUN signs with a digit or a capital after a small letter; a value assigned to a telling name; a key header
 CANDIDATE = re.compile(
     rf"""(?P<header>-----BEGIN\ [A-Z ]*PRIVATE\ KEY-----)
-    |(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)[A-Za-z_]{{0,12}}["']?\s{{0,3}}(?::=|=>|=|:)\s{{0,3}}["']?(?!-----BEGIN)(?P<named>[^\s"'<>]{{6,}})
+    |{_NAMED}
     |(?<![A-Za-z0-9+/_=.~\-])(?P<run>(?={_RUN}*?(?:[0-9]|[a-z][A-Z])){_RUN}{{{MIN_RUN},}})""",
     re.X,
 )
+NAMED = re.compile(_NAMED)
+PART = re.compile(r"[^/=.~+,;:&?|@#(){}\[\]\\]+")
+_SIGN = re.compile(r"[0-9]|[a-z][A-Z]")
+KEY_END = re.compile(r"-----(?:END [A-Z ]*PRIVATE KEY-----|(?P<next>BEGIN ))")
+KEY_LINES = re.compile(r"(?:(?:\s|\\n|\\r)+[A-Za-z0-9+/=]{16,}(?=\s|\\|[\"']|\Z))*")
 # what any candidate has; Arrow's matcher passes over other texts at a few nanoseconds a byte
 HINT = r"[0-9]|[a-z][A-Z]|(?i:pass|pwd|secret|token|key|auth|credential)"
 KINDS = "abcdefghijklmnopqrstuvwxyz0123456789 .,:;=_-+/\"'@%#$&*!?()[]{}<>|\\~\n"
@@ -47,9 +55,16 @@ N_IN = 10  # learned sign vectors, then: upper case, in the candidate, digit, he
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of every candidate; a value of a telling name ends before closing signs."""
+    """(start, end, kind) of every candidate; a value of a telling name ends before closing signs.
+
+    Values of telling names that stand inside or after a run follow at the end.
+    """
     out = []
-    for m in CANDIDATE.finditer(text):
+    matches = list(CANDIDATE.finditer(text))
+    if any(m.lastgroup == "run" for m in matches):
+        have = {m.span("named") for m in matches if m.lastgroup == "named"}
+        matches += [m for m in NAMED.finditer(text) if m.span("named") not in have]
+    for m in matches:
         kind = m.lastgroup
         s, e = m.span(kind)
         while kind != "header" and e > s and text[e - 1] in ".,;:!?)]}*#&%$|":
@@ -59,16 +74,46 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def windows(texts: list[str], spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and flags of each candidate with its context; a long candidate shows its two ends."""
+def key_end(text: str, start: int) -> int:
+    """Where the private key of a header that ends at `start` ends: at its END line, else with its last line of key signs."""
+    m = KEY_END.search(text, start)
+    if m and not m.group("next"):
+        return m.end()
+    return KEY_LINES.match(text, start).end()
+
+
+def views(text: str, s: int, e: int, kind: str) -> Iterator[tuple[tuple[int, int], tuple[int, int], tuple[int, int]]]:
+    """(what is reported, what the network sees, where its context ends and begins) of one candidate.
+
+    The candidate as a whole; windows that overlap by half along a longer one; its
+    parts between delimiters, which are reported on their own.
+    """
+    if kind == "header":
+        yield (s, key_end(text, e)), (s, e), (s, e)
+        return
+    yield (s, e), (s, e), (s, e)
+    if e - s > BODY:
+        for a in range(s, e - BODY // 2, BODY // 2):
+            yield (s, e), (a, min(a + BODY, e)), (s, e)
+    for m in PART.finditer(text, s, e):
+        a, b = m.span()
+        if MIN_RUN <= b - a < e - s and _SIGN.search(text, a, b):
+            yield (a, b), (a, b), (s, b)
+
+
+def windows(texts: list[str], spans: list[tuple[int, int]], around: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and flags of each span with its context; a long span shows its two ends.
+
+    around: where the signs before end and the signs after begin, if not at the span's own ends.
+    """
     n, width = len(spans), BEFORE + BODY + AFTER
     codes = np.zeros((n, width), dtype=np.int64)
     flags = np.zeros((n, width, 4), dtype=np.float32)
-    for k, (t, (s, e)) in enumerate(zip(texts, spans)):
+    for k, (t, (s, e), (s0, e0)) in enumerate(zip(texts, spans, around or spans)):
         body = t[s:e]
         if len(body) > BODY:
             body = body[: BODY // 2] + body[-(BODY - BODY // 2) :]
-        before, after = t[max(0, s - BEFORE) : s], t[e : e + AFTER]
+        before, after = t[max(0, s0 - BEFORE) : s0], t[e0 : e0 + AFTER]
         row = (before.rjust(BEFORE, "\0") + body + after).encode("latin-1", "replace")[:width]
         b = np.frombuffer(row, np.uint8)
         m = len(b)
@@ -264,12 +309,20 @@ def hinted(texts: pa.Array) -> np.ndarray:
 
 
 def scan(texts: list[str | None], net: Net) -> list[tuple[int, int, int, str, float]]:
-    """(text, start, end, kind, probability) of every candidate that the network takes for a secret."""
-    found = [(k, s, e, kind) for k, t in enumerate(texts) if t for s, e, kind in candidates(t)]
-    if not found:
-        return []
-    p = net.score(*windows([texts[f[0]] for f in found], [f[1:3] for f in found]))
-    return [(*f, float(q)) for f, q in zip(found, p) if q >= net.threshold]
+    """(text, start, end, kind, probability) of all that the network takes for a secret; what overlaps is one, with the largest probability."""
+    seen = ((k, kind, v) for k, t in enumerate(texts) if t for s, e, kind in candidates(t) for v in views(t, s, e, kind))
+    hits = []
+    while block := list(islice(seen, 4096)):
+        p = net.score(*windows([texts[k] for k, _, _ in block], [v[1] for _, _, v in block], [v[2] for _, _, v in block]))
+        hits += [(k, *v[0], kind, float(q)) for (k, kind, v), q in zip(block, p) if q >= net.threshold]
+    out: list[tuple[int, int, int, str, float]] = []
+    for k, s, e, kind, q in sorted(hits, key=lambda h: (h[0], h[1], -h[2])):
+        if out and out[-1][0] == k and s < out[-1][2]:
+            _, a, b, was, top = out[-1]
+            out[-1] = (k, a, max(b, e), was, max(top, q))
+        else:
+            out.append((k, s, e, kind, q))
+    return out
 
 
 def secrets(docs: DataFrame, net: Net | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,8 +332,8 @@ def secrets(docs: DataFrame, net: Net | None = None, id_col: str = "doc_id", tex
     digit, a capital inside a word or a telling word are passed over.
 
     Null and empty texts have no rows; null ids stay null; repeated rows each
-    give theirs.  Whole texts are scanned; of a candidate longer than the
-    network's window both ends are seen.  Empty tables give no rows; other
+    give theirs.  Whole texts are scanned, long candidates in overlapping windows;
+    a header reaches to the END line of its key.  Empty tables give no rows; other
     columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(net or train())
