@@ -49,8 +49,29 @@ class Crf:
         return t
 
 
-def word_features(w: Words) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Names: of each word, of its prefixes and suffixes; 0 where a word is no longer than the affix."""
+def _blocks(w: Words, max_bytes: int) -> Iterator[Words]:
+    """The words of runs of whole texts of about max_bytes each; a longer text is alone."""
+    n, a = len(w.offsets) - 1, 0
+    while a < n:
+        b = min(max(int(np.searchsorted(w.offsets, w.offsets[a] + max_bytes, side="right")) - 1, a + 1), n)
+        own, lo, hi = Words.__new__(Words), w.offsets[a], w.offsets[b]
+        own.data, own.offsets = w.data[lo:hi], w.offsets[a : b + 1] - lo
+        own.start, own.end = w.start[w.first[a] : w.first[b]] - lo, w.end[w.first[a] : w.first[b]] - lo
+        own.first = w.first[a : b + 1] - w.first[a]
+        yield own
+        a = b
+
+
+def word_features(w: Words, max_bytes: int = 1 << 20) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Names: of each word, of its prefixes and suffixes; 0 where a word is no longer than the affix.
+
+    Names don't depend on the place, so large samples are named in blocks: sums
+    and powers are eight bytes for each byte of text.
+    """
+    if len(w.data) > max_bytes and len(w.offsets) > 2:
+        parts = [(x, *p, *s) for x, p, s in (word_features(b, max_bytes) for b in _blocks(w, max_bytes))]
+        word, *rest = (np.concatenate(c) for c in zip(*parts))
+        return word, rest[: len(PREFIXES)], rest[len(PREFIXES) :]
     sums = w.prefix_sums()
     size = w.end - w.start
     word = w.span_hash(sums, w.start, w.end)
@@ -280,7 +301,7 @@ def train(texts: pa.Array, toxic: list[int], seed: int = 11) -> Crf:
     return crf
 
 
-def fit_on_labels(docs: DataFrame, labels: DataFrame, max_toxic: int = 600, max_other: int = 1800) -> Crf:
+def fit_on_labels(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_other: int = 3000) -> Crf:
     """Trains on at most max_toxic + max_other labelled rows, chosen by a hash of their id."""
     rows = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic is not null").distinct()
     mark = F.xxhash64("id")
