@@ -69,7 +69,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and len+1 offsets into them; nulls count as empty."""
     if texts.null_count:
         texts = pc.fill_null(texts, "")
-    if pa.types.is_large_string(texts.type):
+    if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type):
         kind = np.int64
     else:
         kind = np.int32
@@ -88,9 +88,9 @@ class Words:
     each word in data; first: index of the first word of each text, len+1 long.
     """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, lowered: bool = False):
         texts = pc.fill_null(texts, "") if texts.null_count else texts
-        self.data, self.offsets = buffers(pc.utf8_lower(texts))
+        self.data, self.offsets = buffers(texts if lowered else pc.utf8_lower(texts))
         word = IS_WORD[self.data]
         prev = np.empty_like(word)
         if len(word):
@@ -120,6 +120,11 @@ class Words:
     def hashes(self) -> np.ndarray:
         return self.span_hash(self.prefix_sums(), self.start, self.end)
 
+    def strings(self) -> pa.Array:
+        """The words themselves."""
+        bounds = np.r_[0, np.cumsum(self.end - self.start)]
+        return pa.Array.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(bounds), pa.py_buffer(self.data[IS_WORD[self.data]])])
+
     def text_of_word(self) -> np.ndarray:
         """Index of the text of each word."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))

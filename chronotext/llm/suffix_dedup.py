@@ -1,12 +1,18 @@
-"""Repeated passages by anchored fingerprints of windows of words.
-
-The windows are those of min_words words from every word of every document on,
-named by a 64-bit hash of their words.  A passage of min_words words that
-occurs twice has its least-named q-gram (its anchor) at the same offset in
-both, so windows are exchanged once, in runs of one anchor's windows, by the
-name of that anchor, and grouped by (anchor, offset) and their name in one
-sort.  The query does not order suffixes; `bucket_pointer_refinement` does,
-for one sequence.
+"""Repeated passages by bucket-pointer refinement of suffixes, in buckets of words.
+
+A suffix begins at every word of every document from which min_words words
+follow.  Suffixes that agree in min_words words agree in the least-named q-gram
+among them, their anchor, so suffixes are exchanged once, by the name of their
+anchor and with the words they are compared by: neighbouring suffixes of one
+anchor travel as one stretch of text.  Within a task the suffixes of all its
+anchors are ordered by bucket-pointer refinement: buckets of equal first q-grams
+are refined by sorting on the bucket pointers of later offsets, and refined
+pointers are written back at once, for the buckets that come next.  Neighbours in
+that order are then compared word by word.
+
+An anchor whose stretches hold too many words for one task (counted before, in
+bounded memory) takes another way: its suffixes are grouped one by one by a
+128-bit name of their words, which Spark combines before it exchanges them.
 """
 
 from __future__ import annotations
@@ -18,216 +24,306 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronotext.llm._kernels import U64, Words, gram_starts, slices, word_grams
+from chronotext.llm._kernels import U64, Words, gram_starts, mix, slices, word_grams
+from chronotext.llm._spark import written
 
 MIN_WORDS = 50
 ANCHOR = 14
-
-
-def refine(own: np.ndarray, later: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts suffixes by bucket and, within it, by the bucket identifier of a later offset.
-
-    Returns the order, and where in it a refined bucket begins.
-    """
-    order = np.lexsort([later, own])
-    a, b = own[order], later[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return order, new
-
-
-def bucket_pointer_refinement(tokens: np.ndarray, q: int = 2) -> np.ndarray:
-    """Suffix array of one integer sequence: initial q-gram buckets, refined by the buckets at later offsets.
-
-    A suffix that ends sorts before one that goes on.  Buckets are pointers to
-    the last place of their suffixes; each round sorts the suffixes of unfinished
-    buckets by the pointers `depth` further on and writes refined pointers back
-    at once for the next round, where they reach twice as far.
+#: suffixes of one stretch at most: a text that repeats one anchor for long is cut into several stretches
+STRETCH = 1024
+#: words of an anchor's stretches beyond which its suffixes are grouped one by one
+HOT_WORDS = 1_000_000
+#: anchors that can take that way (8 bytes each on every worker); with more, the least frequent of them stay in their task
+MAX_HOT = 1 << 22
+#: words that a task orders at a time, unless one anchor has more
+CHUNK_WORDS = 400_000
+BLOCK = 1 << 16
+
+
+def bucket_pointer_refinement(tokens: np.ndarray, q: int | None = None, depth_limit: int | None = None) -> np.ndarray:
+    """Suffix array of one integer sequence: initial q-gram buckets, refined by the bucket pointers of later offsets.
+
+    A suffix that ends sorts before one that goes on.  The pointer of a suffix is
+    the last place of its bucket.  Each round sorts the suffixes of unfinished
+    buckets by the pointers `depth` further on; it takes the buckets in blocks and
+    writes each block's refined pointers back before the next is sorted, so later
+    blocks, and the next round, reach further than `depth`.
+
+    With depth_limit suffixes are ordered by their first depth_limit tokens at
+    least; of suffixes that agree in so many the order is any.
     """
     n = len(tokens)
     if n == 0:
         return np.zeros(0, np.int64)
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1
+    bits = int(rank.max()).bit_length()
+    if q is None:
+        q = max(1, 62 // bits)
     padded = np.r_[rank, np.zeros(q, np.int64)]
-    order = np.lexsort([padded[j : j + n] for j in reversed(range(q))])
-    changed = np.zeros(n, bool)
-    for j in range(q):
-        k = padded[j : j + n][order]
-        changed[1:] |= k[1:] != k[:-1]
-    changed[0] = True
+    if q * bits <= 62:
+        gram = np.zeros(n, np.int64)
+        for j in range(q):
+            gram = gram << bits | padded[j : j + n]
+        order = np.argsort(gram, kind="stable")
+        changed = np.r_[True, gram[order][1:] != gram[order][:-1]]
+    else:
+        order = np.lexsort([padded[j : j + n] for j in reversed(range(q))])
+        changed = np.zeros(n, bool)
+        for j in range(q):
+            k = padded[j : j + n][order]
+            changed[1:] |= k[1:] != k[:-1]
+        changed[0] = True
     pointer = np.empty(n + 1, np.int64)
     pointer[n] = -1
 
-    def write(places: np.ndarray, new: np.ndarray, ends: np.ndarray) -> None:
+    def write(places: np.ndarray, new: np.ndarray) -> None:
         first = np.flatnonzero(new)
-        last = np.r_[first[1:], len(places)] - 1
-        pointer[order[places]] = np.repeat(ends[last], np.diff(np.r_[first, len(places)]))
+        size = np.diff(np.r_[first, len(places)])
+        pointer[order[places]] = np.repeat(places[first + size - 1], size)
 
-    every = np.arange(n)
-    write(every, changed, every)
+    write(np.arange(n), changed)
     depth = q
-    while True:
+    while depth_limit is None or depth < depth_limit:
         at = pointer[order]
         alone = np.ones(n, bool)
         alone[1:] &= at[1:] != at[:-1]
         alone[:-1] &= at[:-1] != at[1:]
-        open_ = np.flatnonzero(~alone)
-        if not len(open_):
-            return order
-        s, new = refine(at[open_], pointer[np.minimum(order[open_] + depth, n)])
-        order[open_] = order[open_][s]
-        write(open_, new, open_)
+        unfinished = np.flatnonzero(~alone)
+        if not len(unfinished):
+            break
+        begins = np.flatnonzero(np.r_[True, at[unfinished][1:] != at[unfinished][:-1]])
+        lo = 0
+        while lo < len(unfinished):
+            k = int(np.searchsorted(begins, lo + BLOCK))
+            hi = int(begins[k]) if k < len(begins) else len(unfinished)
+            places = unfinished[lo:hi]
+            suffix = order[places]
+            key = at[places] * (n + 1) + pointer[np.minimum(suffix + depth, n)] + 1
+            s = np.argsort(key, kind="stable")
+            key = key[s]
+            order[places] = suffix[s]
+            write(places, np.r_[True, key[1:] != key[:-1]])
+            lo = hi
         depth *= 2
+    return order
 
 
-def refined_names(words: np.ndarray, min_words: int) -> np.ndarray:
-    """Bucket identifier of the min_words words from each place on, from identifiers of half as many words."""
-    return word_grams(words, min_words)
-
-
-def anchors(grams: np.ndarray, window: int) -> np.ndarray:
-    """For each window of `window` q-grams, the place of its least name (the leftmost of equal ones)."""
+def least_of_windows(grams: np.ndarray, window: int) -> np.ndarray:
+    """For each window of `window` q-grams the least name in it."""
     n = len(grams) - window + 1
     if n <= 0:
-        return np.zeros(0, np.int64)
+        return grams[:0]
     # least of blocks that double in length: two overlapping blocks cover a window
-    key = grams.copy()
-    place = np.arange(len(grams))
-    size = 1
+    least, size = grams, 1
     while size * 2 <= window:
-        m = len(key) - size
-        take = key[size:] < key[:m]
-        key = np.where(take, key[size:], key[:m])
-        place = np.where(take, place[size:], place[:m])
+        least = np.minimum(least[size:], least[: len(least) - size])
         size *= 2
     rest = window - size
-    a, b = key[:n], key[rest : rest + n]
-    return np.where(b < a, place[rest : rest + n], place[:n])
+    return np.minimum(least[:n], least[rest : rest + n])
+
+
+class _Stretches:
+    """Suffixes of the texts of one piece, in runs of neighbours with one anchor; begins, ends: of each run's suffixes, as words of the piece."""
+
+    def __init__(self, texts: pa.Array, min_words: int, q: int):
+        self.words = w = Words(texts)
+        self.begins = self.ends = self.text = np.zeros(0, np.int64)
+        self.anchor = np.zeros(0, U64)
+        if len(w) < min_words:
+            return
+        self.hashes = w.hashes()
+        grams = word_grams(self.hashes, q)
+        anchor = least_of_windows(grams, min_words - q + 1)
+        at = np.flatnonzero(gram_starts(w.first, min_words)[: len(anchor)])
+        if not len(at):
+            return
+        owner = w.text_of_word()[at]
+        new = np.ones(len(at), bool)
+        new[1:] = (anchor[at[1:]] != anchor[at[:-1]]) | (owner[1:] != owner[:-1])
+        run = np.flatnonzero(new)
+        inside = np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))
+        run = np.flatnonzero(inside % STRETCH == 0)
+        self.begins, self.ends = at[run], at[np.r_[run[1:], len(at)] - 1] + 1
+        self.anchor, self.text = anchor[at[run]], owner[run]
+        self.grams, self.reach = grams, min_words - q
+
+    def twice(self, r: np.ndarray) -> np.ndarray:
+        """Whether the anchor lies twice in a stretch, so that two of its own suffixes could be alike."""
+        size = self.ends[r] - self.begins[r] + self.reach
+        first = np.r_[0, np.cumsum(size)[:-1]]
+        at = np.repeat(self.begins[r] - first, size) + np.arange(int(size.sum()))
+        return np.add.reduceat((self.grams[at] == np.repeat(self.anchor[r], size)).astype(np.int32), first) > 1
+
+
+def _counter(min_words: int, q: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text", 1 << 22):
+                s = _Stretches(piece.column("text"), min_words, q)
+                name, where = np.unique(s.anchor, return_inverse=True)
+                n = np.bincount(where, weights=s.ends - s.begins + min_words - 1, minlength=len(name)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(n)], names=["anchor", "n"])
 
+    return count
 
-def _emitter(min_words: int, q: int):
-    window = min_words - q + 1
 
+def _among(names: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which names are among the sorted known ones."""
+    if not len(known):
+        return np.zeros(len(names), bool)
+    return known[np.minimum(np.searchsorted(known, names), len(known) - 1)] == names
+
+
+def _emitter(min_words: int, q: int, hot):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Stretches of anchors that aren't hot, each with its text."""
+        known = hot.value
         for batch in batches:
             for piece in slices(batch, "text"):
-                w = Words(piece.column("text"))
-                if len(w) < min_words:
-                    continue
-                h = w.hashes()
-                grams = word_grams(h, q)
-                names = refined_names(h, min_words)
-                at = anchors(grams, window)[: len(names)]
-                ok = gram_starts(w.first, min_words)[: len(names)]
-                begins = np.flatnonzero(ok)
-                if not len(begins):
+                s = _Stretches(piece.column("text"), min_words, q)
+                w = s.words
+                live = np.flatnonzero(~_among(s.anchor, known))
+                data = w.data.tobytes()
+                for lo in range(0, len(live), 4096):
+                    r = live[lo : lo + 4096]
+                    a, b = w.start[s.begins[r]], w.end[s.ends[r] + min_words - 2]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(s.anchor[r].view(np.int64)),
+                            piece.column("id").take(pa.array(s.text[r])),
+                            pa.array((s.begins[r] - w.first[s.text[r]]).astype(np.int32)),
+                            pa.array(s.twice(r)),
+                            pa.array([data[x:y] for x, y in zip(a.tolist(), b.tolist())], pa.binary()),
+                        ],
+                        names=["anchor", "id", "begin", "twice", "words"],
+                    )
+
+    return emit
+
+
+def _namer(min_words: int, q: int, hot):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each suffix of a hot anchor with a 128-bit name of its min_words words."""
+        known = hot.value
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                s = _Stretches(piece.column("text"), min_words, q)
+                r = np.flatnonzero(_among(s.anchor, known))
+                if not len(r):
                     continue
-                owner = w.text_of_word()[begins]
-                at = at[begins]
-                new = np.ones(len(begins), bool)
-                new[1:] = (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])
-                run = np.flatnonzero(new)
-                ids = piece.column("id").take(pa.array(owner[run]))
-                offsets = pa.array(np.r_[run, len(begins)] * 8, pa.int32())
-                packed = pa.Array.from_buffers(pa.binary(), len(run), [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(names[begins]))])
+                size = s.ends[r] - s.begins[r]
+                row = np.repeat(np.arange(len(r)), size)
+                at = np.repeat(s.begins[r] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum()))
+                names = [word_grams(h, min_words)[at].view(np.int64) for h in (s.hashes, mix(s.hashes + U64(0x632BE59BD9B4E019)))]
+                begin = at - s.words.first[s.text[r]][row]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(grams[at[run]].view(np.int64)),
-                        ids,
-                        pa.array((begins[run] - w.first[owner[run]]).astype(np.int32)),
-                        pa.array((at[run] - begins[run]).astype(np.int32)),
-                        packed,
-                    ],
-                    names=["anchor", "id", "begin", "back", "names"],
+                    [*map(pa.array, names), piece.column("id").take(pa.array(s.text[r][row])), pa.array(begin.astype(np.int32))], names=["a", "b", "id", "start"]
                 )
 
     return emit
 
 
-def _sorter(min_words: int, within: bool = False):
+def repeating(rows: pa.RecordBatch, min_words: int, within: bool) -> pa.RecordBatch | None:
+    """Spans (id, start, end) of the suffixes of whole buckets of stretches that occur at two places."""
+    anchor, ident, begin = (rows.column(c).to_numpy() for c in ("anchor", "id", "begin"))
+    order = np.argsort(anchor, kind="stable")
+    first = np.flatnonzero(np.r_[True, anchor[order][1:] != anchor[order][:-1]])
+    # a bucket of one place holds nothing that repeats, unless its stretch repeats itself
+    size = np.diff(np.r_[first, len(order)])
+    text = rows.column("words")
+    live = order[np.repeat(size > 1, size)]
+    if within:
+        live = np.union1d(live, np.flatnonzero(rows.column("twice").to_numpy(zero_copy_only=False)))
+    if not len(live):
+        return None
+    ident, begin = ident[live], begin[live].astype(np.int64)
+    w = Words(text.take(pa.array(live)).cast(pa.large_binary()), lowered=True)
+    word = w.strings().dictionary_encode().indices.to_numpy().astype(np.int64)
+    suffixes = np.diff(w.first) - (min_words - 1)
+    row = np.repeat(np.arange(len(live)), suffixes)
+    step = np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(suffixes)[:-1]], suffixes)
+    number = np.full(len(word), -1, np.int64)
+    number[w.first[row] + step] = np.arange(len(row))
+    at = bucket_pointer_refinement(word, depth_limit=min_words)
+    at = at[number[at] >= 0]
+    # neighbours that agree in min_words words, compared word by word
+    same = np.arange(1, len(at))
+    for j in range(min_words):
+        same = same[word[at[same] + j] == word[at[same - 1] + j]]
+        if not len(same):
+            return None
+    new = np.ones(len(at), bool)
+    new[same] = False
+    group = np.flatnonzero(new)
+    own = number[at]
+    who, place = ident[row[own]], (begin[row] + step)[own]
+    repeats = np.minimum.reduceat(who, group) != np.maximum.reduceat(who, group)
+    if within:
+        repeats |= np.minimum.reduceat(place, group) != np.maximum.reduceat(place, group)
+    hit = np.zeros(len(row), bool)
+    hit[own] = np.repeat(repeats, np.diff(np.r_[group, len(at)]))
+    if not hit.any():
+        return None
+    opens = hit & ~(np.r_[False, hit[:-1]] & (step > 0))
+    closes = hit & ~(np.r_[hit[1:], False] & np.r_[step[1:] > 0, False])
+    a, b = np.flatnonzero(opens), np.flatnonzero(closes)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ident[row[a]]), pa.array((begin[row[a]] + step[a]).astype(np.int32)), pa.array((begin[row[b]] + step[b] + min_words).astype(np.int32))],
+        names=["id", "start", "end"],
+    )
+
+
+def _sorter(min_words: int, within: bool, chunk_words: int):
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Suffixes of one partition, whose rows come ordered by anchor: refines its buckets, keeps what repeats."""
+        """Stretches of one partition, ordered by anchor: whole buckets are ordered a chunk at a time."""
         held: list[pa.RecordBatch] = []
-
-        def flush(rows: pa.RecordBatch) -> pa.RecordBatch | None:
-            anchor = rows.column("anchor").to_numpy()
-            ident = rows.column("id").to_numpy()
-            first = np.r_[True, anchor[1:] != anchor[:-1]]
-            bucket = np.cumsum(first) - 1
-            start = np.flatnonzero(first)
-            # a bucket of one document (within: of one place of it) holds nothing that repeats
-            several = np.minimum.reduceat(ident, start) != np.maximum.reduceat(ident, start)
-            if within:
-                place = rows.column("begin").to_numpy().astype(np.int64) + rows.column("back").to_numpy()
-                several |= np.minimum.reduceat(place, start) != np.maximum.reduceat(place, start)
-            live = np.flatnonzero(several[bucket])
-            if not len(live):
-                return None
-            rows = rows.take(pa.array(live))
-            bucket, ident = bucket[live], ident[live]
-            packed = rows.column("names")
-            off = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(live) + 1].astype(np.int64) // 8
-            names = np.frombuffer(packed.buffers()[2], U64)[off[0] : off[-1]]
-            off = off - off[0]
-            size = np.diff(off)
-            row = np.repeat(np.arange(len(live)), size)
-            step = np.arange(len(names)) - np.repeat(off[:-1], size)
-            back = rows.column("back").to_numpy().astype(np.int64)[row] - step
-            # the initial bucket is the anchor and the offset from it
-            order, new = refine(bucket[row] << 8 | back, names)
-            begin = np.flatnonzero(new)
-            d = ident[row][order]
-            repeats = np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin)
-            base = rows.column("begin").to_numpy().astype(np.int64)
-            if within:
-                place = (base[row] + step)[order]
-                repeats |= np.minimum.reduceat(place, begin) != np.maximum.reduceat(place, begin)
-            hit = np.zeros(len(order), bool)
-            hit[order] = np.repeat(repeats, np.diff(np.r_[begin, len(order)]))
-            if not hit.any():
-                return None
-            # runs of repeated windows within each row
-            opens = hit & ~(np.r_[False, hit[:-1]] & (step > 0))
-            closes = hit & ~(np.r_[hit[1:], False] & np.r_[step[1:] > 0, False])
-            a, b = np.flatnonzero(opens), np.flatnonzero(closes)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ident[row[a]]), pa.array((base[row[a]] + step[a]).astype(np.int32)), pa.array((base[row[b]] + step[b] + min_words).astype(np.int32))],
-                names=["id", "start", "end"],
-            )
-
-        last = None
         waiting = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held, waiting
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, waiting = [], 0
+            out = repeating(rows[0], min_words, within) if rows else None
+            if out is not None:
+                yield out
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            # what is held ends at the last change of anchor
             anchor = batch.column("anchor").to_numpy()
-            change = np.flatnonzero(anchor[1:] != anchor[:-1])
-            if last is not None and anchor[0] != last and waiting > 1 << 15:
-                out = flush(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-                if out is not None:
-                    yield out
-                held, waiting = [], 0
-            if len(change) and waiting + batch.num_rows > 1 << 15:
-                cut_ = int(change[-1]) + 1
-                held.append(batch.slice(0, cut_))
-                out = flush(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-                if out is not None:
-                    yield out
-                held, waiting = [batch.slice(cut_)], batch.num_rows - cut_
-            else:
-                held.append(batch)
-                waiting += batch.num_rows
-            last = anchor[-1]
-        if waiting:
-            out = flush(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-            if out is not None:
-                yield out
+            change = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
+            text = batch.column("words")
+            upto = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + batch.num_rows + 1].astype(np.int64) // 6
+            size = upto[1:] - upto[0]
+            if held and held[-1].column("anchor")[-1].as_py() != anchor[0] and waiting > chunk_words:
+                yield from flush()
+            lo = before = 0
+            while len(change):
+                full = int(np.searchsorted(size, before + chunk_words - waiting, side="right"))
+                k = int(np.searchsorted(change, max(full, lo + 1)))
+                if k == len(change):
+                    break
+                hi = int(change[k])
+                held.append(batch.slice(lo, hi - lo))
+                yield from flush()
+                lo, before = hi, int(size[hi - 1])
+            held.append(batch.slice(lo))
+            waiting += int(size[-1]) - before
+        if held:
+            yield from flush()
 
     return sort
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, anchor: int = ANCHOR, within: bool = False) -> DataFrame:
+def repeated_passages(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_words: int = MIN_WORDS,
+    anchor: int = ANCHOR,
+    within: bool = False,
+    hot_words: int = HOT_WORDS,
+) -> DataFrame:
     """(doc_id, start_word, end_word, n_words): passages of at least min_words words that another document has too.
 
     within: passages that begin at two places of one document are reported as well.
@@ -236,20 +332,31 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     in each document; end_word is exclusive.  Overlapping and touching passages
     of a document are one row.  Every place of every document is a suffix and
     every passage is compared with every other: there is no cap on how often a
-    passage occurs.
+    passage occurs.  Words are compared as they are, but for suffixes of anchors
+    of more than hot_words words, which are compared by 128-bit names.
 
     Unless `within`, a passage that repeats in one document only isn't reported.  Null ids and
     null texts, and texts of fewer words, have no rows.  Repeated rows of one id
     are one document and don't repeat each other.  Ties and copies of any number are
     all reported.  Empty tables give no rows; other columns are ignored.
-    min_words is at most 255.
     """
-    if not anchor < min_words <= 255:
-        raise ValueError("anchor < min_words <= 255")
+    if not 0 < anchor < min_words:
+        raise ValueError("0 < anchor < min_words")
+    spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    suffixes = base.mapInArrow(_emitter(min_words, anchor), "anchor long, id long, begin int, back int, names binary")
-    together = suffixes.repartition("anchor").sortWithinPartitions("anchor")
-    runs = together.mapInArrow(_sorter(min_words, within), "id long, start int, end int")
+    counts = base.mapInArrow(_counter(min_words, anchor), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    often = counts.where(F.col("n") > hot_words).orderBy(F.desc("n"), "anchor").limit(MAX_HOT).select("anchor").toArrow()
+    hot = np.sort(often.column("anchor").to_numpy().astype(np.int64).view(U64))
+    sent = spark.sparkContext.broadcast(hot)
+    stretches = base.mapInArrow(_emitter(min_words, anchor, sent), "anchor long, id long, begin int, twice boolean, words binary")
+    together = stretches.repartition("anchor").sortWithinPartitions("anchor")
+    runs = together.mapInArrow(_sorter(min_words, within, CHUNK_WORDS), "id long, start int, end int")
+    if len(hot):
+        named = written(base.mapInArrow(_namer(min_words, anchor, sent), "a long, b long, id long, start int"), "suffix-names")
+        place = F.struct("id", "start")
+        ends = named.groupBy("a", "b").agg(F.min(place).alias("low"), F.max(place).alias("high"))
+        repeated = ends.where("low <> high" if within else "low.id <> high.id").select("a", "b")
+        runs = runs.union(named.join(repeated, ["a", "b"], "left_semi").select("id", "start", (F.col("start") + min_words).alias("end")))
     w = Window.partitionBy("id").orderBy("start", "end")
     upto = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = runs.withColumn("fresh", F.when(F.col("start") > upto, 1).when(upto.isNull(), 1).otherwise(0))

@@ -1,9 +1,7 @@
 import random
 from collections import defaultdict
 
-import numpy as np
-
-from chronotext.llm import queries, suffix_dedup
+from chronotext.llm import queries
 from chronotext.llm.suffix_dedup import repeated_passages
 
 
@@ -11,23 +9,6 @@ def rows(df):
     return {(r.doc_id, r.start_word, r.end_word) for r in df.collect()}
 
 
-def test_names_are_compared_whole():
-    """Windows of one anchor and offset whose names differ in the low 32 bits only are not repeats."""
-    import pyarrow as pa
-
-    def row(i, name):
-        return pa.RecordBatch.from_arrays(
-            [pa.array([7]), pa.array([i]), pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([np.array([name], np.uint64).tobytes()], pa.binary())],
-            names=["anchor", "id", "begin", "back", "names"],
-        )
-
-    high = 123 << 32
-    out = list(suffix_dedup._sorter(50)(iter([row(1, high | 1), row(2, high | 2)])))
-    assert sum(b.num_rows for b in out) == 0
-    out = list(suffix_dedup._sorter(50)(iter([row(1, high | 1), row(2, high | 1)])))
-    assert sum(b.num_rows for b in out) == 2
-
-
 def occurrences(docs, k):
     """Spans of words in windows of k words that begin at two (id, place)."""
     where, hit = defaultdict(set), defaultdict(set)
