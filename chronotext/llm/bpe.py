@@ -38,13 +38,17 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def splitter(pattern: str) -> Callable[[str], list[str]]:
     """Pre-tokens of a text.
 
-    Texts of plain signs (no apostrophe, only Latin letters below U+01BB, ASCII
+    With the usual pattern, texts of plain signs (no apostrophe, only Latin letters below U+01BB, ASCII
     digits, common punctuation) go to the standard library's matcher, which has
     the same pre-tokens for them and takes half the time; others to the full pattern.
     """
+    import public_tokenizers
     import regex
 
-    full = regex.compile(pattern).findall
+    whole = regex.compile(pattern)
+    full = whole.findall if not whole.groups else lambda text: [m.group() for m in whole.finditer(text)]
+    if pattern != public_tokenizers.PATTERN:
+        return full
     plain, simple = _PLAIN.fullmatch, _SIMPLE.findall
     return lambda text: simple(text) if plain(text) else full(text)
 
@@ -143,10 +147,10 @@ class Encoder:
         return b"".join(map(self.token, ids))
 
 
-def vocabulary(path: str | None = None) -> tuple[dict[bytes, int], str]:
+def vocabulary(path: str | None = None, pattern: str | None = None) -> tuple[dict[bytes, int], str]:
     import public_tokenizers
 
-    return read_ranks(path or default_vocabulary()), public_tokenizers.PATTERN
+    return read_ranks(path or default_vocabulary()), pattern or public_tokenizers.PATTERN
 
 
 _encoders: dict[int, Encoder] = {}
@@ -181,7 +185,7 @@ def send(spark: SparkSession, value) -> _Sent:
     return _Sent(spark.sparkContext.broadcast(value))
 
 
-def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str | None = None) -> DataFrame:
+def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids, round_trip) for every row.
 
     ids are those of the vocabulary; round_trip says that decoding them gives
@@ -191,9 +195,10 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
     A null text has null n_tokens, ids and round_trip; an empty text has no ids and
     round_trip true.  Null ids and repeated rows are kept as they are.  Very
     long texts and words are encoded whole.  An empty table gives no rows.  Other
-    columns are ignored.
+    columns are ignored.  Ids are cast to long.  pattern: how texts are split, if
+    the vocabulary isn't one of the usual pattern's.
     """
-    sent = send(docs.sparkSession, vocabulary(vocabulary_path))
+    sent = send(docs.sparkSession, vocabulary(vocabulary_path, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(sent)
@@ -218,7 +223,13 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
 
 
 def decoded(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary_path: str | None = None) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids); null ids give a null text, bytes that aren't UTF-8 are replaced, an unknown id is an error."""
+    """(doc_id, text) for every row of (doc_id, ids).
+
+    Null ids give a null text, no ids an empty one; bytes that aren't UTF-8 are
+    replaced, an unknown id is an error.  Null and repeated doc_ids are kept.  Any
+    number of ids is decoded.  An empty table gives no rows; other columns are
+    ignored.  doc_ids are cast to long.
+    """
     sent = send(tokens.sparkSession, vocabulary(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,11 +1,18 @@
-"""Token counts by a two-tier lookup on the map side: no pre-token is ever shuffled."""
+"""Token counts by a two-tier lookup on the map side: pre-tokens are never exchanged.
+
+First tier: a compact hash table of the corpus's frequent pre-tokens, which maps
+128-bit names to lengths in tokens and is broadcast.  Second tier: a cache in each
+worker, which encodes what the table lacks.  To find the frequent ones each task
+counts the pre-tokens of its rows and hands on names, lengths and counts; sums by
+name are taken by Spark, with partial sums before the exchange.
+"""
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,93 +22,92 @@ from chronotext.llm.bpe import WordCache, merge, send, splitter, vocabulary
 
 FREQUENT = 50_000
 SUMMARY = 20_000
-FAN_IN = 32
 
 
-def _pack(c: Counter, most: int) -> pa.RecordBatch:
-    top = c.most_common(most)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([[w for w, _ in top]], pa.list_(pa.string())), pa.array([[n for _, n in top]], pa.list_(pa.int64()))], names=["words", "counts"]
-    )
+def name_of(word: str) -> bytes:
+    """128-bit name of a pre-token."""
+    import xxhash
+
+    return xxhash.xxh3_128_digest(word.encode(errors="replace"))
 
 
-def frequent_pretokens(docs: DataFrame, pattern: str, text_col: str = "text", most: int = FREQUENT, summary: int = SUMMARY) -> list[str]:
-    """The most frequent pre-tokens of all texts, from bounded summaries merged in a tree.
+def frequent_pretokens(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", most: int = FREQUENT, summary: int = SUMMARY) -> tuple[np.ndarray, np.ndarray]:
+    """(names, lengths) of the most frequent pre-tokens of all texts; names are rows of 16 bytes.
 
-    Each task counts all pre-tokens of its rows and hands on its `summary` most
-    frequent ones in one row; FAN_IN such rows become one again until few are
-    left.  The list only decides what is looked up where: counts are right with
-    any list.
+    Each task counts all pre-tokens of its rows, in bounded memory, and hands on
+    its `summary` most frequent ones.  The table only decides what is looked up
+    where: counts are right with any table.  Equal counts are taken by name.
     """
+    sent = send(docs.sparkSession, ranks)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter(pattern)
+        known = sent.value
         c: Counter = Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 c.update(split(text))
                 if len(c) > 40 * summary:
                     c = Counter(dict(c.most_common(20 * summary)))
-        if c:
-            yield _pack(c, summary)
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
-        for batch in batches:
-            for words, counts in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist()):
-                for w, n in zip(words, counts):
-                    c[w] += n
-        if c:
-            yield _pack(c, most)
+        top = c.most_common(summary)
+        names = np.frombuffer(b"".join(name_of(w) for w, _ in top), np.int64).reshape(-1, 2)
+        size = [len(merge(w.encode(errors="replace"), known)) for w, _ in top]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.ascontiguousarray(names[:, 0])), pa.array(np.ascontiguousarray(names[:, 1])), pa.array(size, pa.int32()), pa.array([n for _, n in top], pa.int64())],
+            names=["a", "b", "size", "n"],
+        )
 
-    shape = "words array<string>, counts array<long>"
     texts = docs.select(F.col(text_col).alias("text")).where("text is not null")
-    rows = texts.mapInArrow(count, shape)
-    parts = texts.rdd.getNumPartitions()
-    while parts > 1:
-        parts = math.ceil(parts / FAN_IN)
-        rows = rows.repartition(parts).mapInArrow(join, shape)
-    total: Counter = Counter()
-    for r in rows.collect():
-        total.update(dict(zip(r.words, r.counts)))
-    return [w for w, _ in total.most_common(most)]
+    sums = texts.mapInArrow(count, "a long, b long, size int, n long").groupBy("a", "b").agg(F.first("size").alias("size"), F.sum("n").alias("n"))
+    got = sums.orderBy(F.desc("n"), "a", "b").limit(most).select("a", "b", "size").toArrow()
+    names = np.stack([got.column(c).to_numpy().astype(np.int64) for c in ("a", "b")], axis=1)
+    return names, got.column("size").to_numpy().astype(np.int32)
 
 
-class FrequentTier(dict):
-    """First tier: lengths of frequent pre-tokens; what isn't there is asked of the worker's cache."""
+class Lengths(dict):
+    """Lengths of pre-tokens that a worker has met: from the table of frequent ones, else by encoding."""
 
-    def __init__(self, words: list[str], lengths: bytes, rare: WordCache):
-        super().__init__(zip(words, lengths))
-        self.rare = rare
+    def __init__(self, names: np.ndarray, sizes: np.ndarray, ranks: dict[bytes, int]):
+        super().__init__()
+        raw = np.ascontiguousarray(names).tobytes()
+        self.table = dict(zip((raw[k : k + 16] for k in range(0, len(raw), 16)), sizes.tolist()))
+        self.rare = WordCache(lambda w: len(merge(w.encode(errors="replace"), ranks)))
 
-    def __missing__(self, key):
-        return self.rare[key]
+    def __missing__(self, word: str) -> int:
+        n = self.rare.get(word)
+        if n is None:
+            n = self.table.get(name_of(word))
+            if n is None:
+                return self.rare[word]
+            if len(word) < 100:  # no more entries than the table has
+                self[word] = n
+        return n
 
 
-_tiers: dict[int, FrequentTier] = {}
+_lengths: dict[int, Lengths] = {}
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str | None = None, frequent: int = FREQUENT) -> DataFrame:
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str | None = None, frequent: int = FREQUENT, pattern: str | None = None) -> DataFrame:
     """(doc_id, n_tokens) for every row: how many ids the byte-level BPE gives its text.
 
-    The lengths of the corpus's frequent pre-tokens are broadcast as one compact
-    table of fixed size; a miss is encoded once and kept in the worker's bounded
-    cache.  Counts are exact.
+    The table of frequent pre-tokens has a fixed size (20 bytes for each of
+    `frequent` names); a miss is encoded once and kept in the worker's bounded
+    cache.  Counts are exact, unless two pre-tokens have one 128-bit name.
 
     A null text has a null count, an empty one 0.  Null ids and repeated rows are
     kept as they are.  Very long texts and words are counted whole.  An empty
-    table gives no rows.  Other columns are ignored.
+    table gives no rows.  Other columns are ignored.  Ids are cast to long.
+    pattern: how texts are split, if the vocabulary isn't one of the usual pattern's.
     """
-    ranks, pattern = vocabulary(vocabulary_path)
-    words = [w for w in frequent_pretokens(docs, pattern, text_col, frequent) if len(w) < 100]
-    sent = send(docs.sparkSession, (words, bytes(len(merge(w.encode(errors="replace"), ranks)) for w in words), ranks))
+    ranks, pattern = vocabulary(vocabulary_path, pattern)
+    names, sizes = frequent_pretokens(docs, ranks, pattern, text_col, frequent)
+    sent = send(docs.sparkSession, (names, sizes, ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if sent.id not in _tiers:
-            _tiers.clear()
-            top, lengths, known = sent.value
-            _tiers[sent.id] = FrequentTier(top, lengths, WordCache(lambda w: len(merge(w.encode(errors="replace"), known))))
-        look = _tiers[sent.id].__getitem__
+        if sent.id not in _lengths:
+            _lengths.clear()
+            _lengths[sent.id] = Lengths(*sent.value)
+        look = _lengths[sent.id].__getitem__
         split = splitter(pattern)
         for batch in batches:
             for piece in slices(batch, "text"):

@@ -72,7 +72,8 @@ def test_counts_and_round_trip_on_odd_rows(spark, known):
 
 def test_frequent_tier_never_changes_counts(spark, known):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    assert len(frequent_pretokens(docs, known[1], most=50)) == 50
+    names, sizes = frequent_pretokens(docs, *known[:2], most=50)
+    assert names.shape == (50, 2) and sizes.min() >= 1
     few = {(r.doc_id, r.n_tokens) for r in token_counts(docs, frequent=3).collect()}
     want = {(r.doc_id, len(known[2].encode_ordinary(r.text))) for r in docs.collect()}
     assert few == want == {(r.doc_id, r.n_tokens) for r in token_counts(docs).collect()}
@@ -84,3 +85,40 @@ def test_cache_keeps_to_its_size():
     for i in range(100):
         assert c[str(i)] == len(str(i)) and c["hot"] == 3
     assert len(c) <= 10 and len(c.old) <= 10 and made.count("hot") == 1
+
+
+def test_counts_of_pretokens_of_many_tokens(spark, known):
+    """Frequent pre-tokens of more tokens than fit into a byte."""
+    texts = ["hello " + "\U0001f525" * 95, "\uac02" * 95, "\ua000" * 95, " x" * 5]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 3, "doc_id long, text string")
+    want = {(i, len(known[2].encode_ordinary(t))) for i, t in enumerate(texts)}
+    assert max(n for _, n in want) > 255
+    assert {(r.doc_id, r.n_tokens) for r in token_counts(docs).collect()} == want
+
+
+def test_no_pretoken_is_exchanged(spark, known):
+    """What is exchanged for the table are names and numbers."""
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, ids string, n_tokens int")
+    asked = []
+    own = type(docs).toArrow
+    try:
+        type(docs).toArrow = lambda self: asked.append(self._jdf.queryExecution().executedPlan().toString()) or own(self)
+        frequent_pretokens(docs, *known[:2])
+    finally:
+        type(docs).toArrow = own
+    assert "Exchange hashpartitioning(a" in asked[0]
+    at_exchange = [x for x in asked[0].split("\n") if "partial_sum" in x]
+    assert at_exchange and all("text" not in x and "word" not in x for x in at_exchange)
+
+
+def test_another_pattern_is_followed(spark, known):
+    docs = spark.createDataFrame([(1, "ab cd")], "doc_id long, text string")
+    one = bpe.encoded(docs, pattern=r"[\s\S]").first()
+    assert one.n_tokens == 5 and one.round_trip and token_counts(docs, pattern=r"(?:[\s\S])").first().n_tokens == 5
+
+
+def test_decoding_odd_tables(spark):
+    rows = spark.createDataFrame([(1, None, "x"), (None, [], "y"), (2, [0, 1], "z"), (2, [0, 1], "z")], "doc_id long, ids array<int>, text string")
+    got = sorted(((r.doc_id, r.text) for r in bpe.decoded(rows).collect()), key=repr)
+    assert (1, None) in got and (None, "") in got and len(got) == 4
+    assert bpe.decoded(rows.limit(0)).count() == 0
