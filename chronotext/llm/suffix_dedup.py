@@ -4,7 +4,7 @@ A suffix begins at every word of every document from which min_words words
 follow.  Suffixes that agree in min_words words agree in the least-named q-gram
 among them, their anchor, so suffixes are exchanged once, by the name of their
 anchor and with the words they are compared by: neighbouring suffixes of one
-anchor travel as one stretch of text.  Within a task the suffixes of all its
+anchor travel as one stretch of text, and equal stretches of a task together.  Within a task the suffixes of all its
 anchors are ordered by bucket-pointer refinement: buckets of equal first q-grams
 are refined by sorting on the bucket pointers of later offsets, and refined
 pointers are written back at once, for the buckets that come next.  Neighbours in
@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronotext.llm._kernels import U64, Words, gram_starts, mix, slices, word_grams
+from chronotext.llm._kernels import IS_WORD, U64, Words, gram_starts, mix, ragged_arange, slices, word_grams
 from chronotext.llm._spark import written
 
 MIN_WORDS = 50
@@ -38,6 +39,9 @@ MAX_HOT = 1 << 22
 #: words that a task orders at a time, unless one anchor has more
 CHUNK_WORDS = 400_000
 BLOCK = 1 << 16
+#: text of stretches that a task holds to send equal ones once
+HELD_BYTES = 48 << 20
+PLACE = np.dtype([("id", "<i8"), ("begin", "<i4")])
 
 
 def bucket_pointer_refinement(tokens: np.ndarray, q: int | None = None, depth_limit: int | None = None) -> np.ndarray:
@@ -174,29 +178,53 @@ def _among(names: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, names), len(known) - 1)] == names
 
 
-def _emitter(min_words: int, q: int, hot):
+def _emitter(min_words: int, q: int, hot, within: bool):
+    def pack(found: dict[tuple[int, bytes], list[bytes]], twice: set[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        keys = list(found)
+        for lo in range(0, len(keys), 4096):
+            some = keys[lo : lo + 4096]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.array([k[0] for k in some], U64).view(np.int64)),
+                    pa.array([b"".join(found[k]) for k in some], pa.binary()),
+                    pa.array([k in twice for k in some], pa.bool_()),
+                    pa.array([k[1] for k in some], pa.binary()),
+                ],
+                names=["anchor", "places", "twice", "words"],
+            )
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Stretches of anchors that aren't hot, each with its text."""
+        """Stretches of anchors that aren't hot: equal ones once, with the places they begin at."""
         known = hot.value
+        found: dict[tuple[int, bytes], list[bytes]] = {}
+        twice: set[tuple[int, bytes]] = set()
+        held = 0
         for batch in batches:
             for piece in slices(batch, "text"):
                 s = _Stretches(piece.column("text"), min_words, q)
                 w = s.words
                 live = np.flatnonzero(~_among(s.anchor, known))
-                data = w.data.tobytes()
-                for lo in range(0, len(live), 4096):
-                    r = live[lo : lo + 4096]
-                    a, b = w.start[s.begins[r]], w.end[s.ends[r] + min_words - 2]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(s.anchor[r].view(np.int64)),
-                            piece.column("id").take(pa.array(s.text[r])),
-                            pa.array((s.begins[r] - w.first[s.text[r]]).astype(np.int32)),
-                            pa.array(s.twice(r)),
-                            pa.array([data[x:y] for x, y in zip(a.tolist(), b.tolist())], pa.binary()),
-                        ],
-                        names=["anchor", "id", "begin", "twice", "words"],
-                    )
+                if not len(live):
+                    continue
+                # words with one space between
+                word = IS_WORD[w.data]
+                keep = word | np.r_[False, word[:-1]]
+                data = np.where(word, w.data, np.uint8(32))[keep].tobytes()
+                at = np.r_[0, np.cumsum(keep)]
+                a, b = at[w.start[s.begins[live]]], at[w.end[s.ends[live] + min_words - 2]]
+                ids = pc.fill_null(piece.column("id"), 0).to_numpy(zero_copy_only=False)[s.text[live]]
+                places = np.rec.fromarrays([ids, s.begins[live] - w.first[s.text[live]]], dtype=PLACE).tobytes()
+                again = s.twice(live).tolist() if within else [False] * len(live)
+                for k, (name, x, y) in enumerate(zip(s.anchor[live].tolist(), a.tolist(), b.tolist())):
+                    key = (name, data[x:y])
+                    found.setdefault(key, []).append(places[12 * k : 12 * k + 12])
+                    if again[k]:
+                        twice.add(key)
+                held += int((b - a).sum())
+                if held > HELD_BYTES:
+                    yield from pack(found, twice)
+                    found, twice, held = {}, set(), 0
+        yield from pack(found, twice)
 
     return emit
 
@@ -225,23 +253,24 @@ def _namer(min_words: int, q: int, hot):
 
 def repeating(rows: pa.RecordBatch, min_words: int, within: bool) -> pa.RecordBatch | None:
     """Spans (id, start, end) of the suffixes of whole buckets of stretches that occur at two places."""
-    anchor, ident, begin = (rows.column(c).to_numpy() for c in ("anchor", "id", "begin"))
+    anchor, text = rows.column("anchor").to_numpy(), rows.column("words")
+    count = np.diff(np.frombuffer(rows.column("places").buffers()[1], np.int32)[rows.column("places").offset :][: len(anchor) + 1]) // PLACE.itemsize
     order = np.argsort(anchor, kind="stable")
     first = np.flatnonzero(np.r_[True, anchor[order][1:] != anchor[order][:-1]])
-    # a bucket of one place holds nothing that repeats, unless its stretch repeats itself
-    size = np.diff(np.r_[first, len(order)])
-    text = rows.column("words")
-    live = order[np.repeat(size > 1, size)]
+    # a bucket of one stretch at one place holds nothing that repeats, unless that stretch repeats itself
+    many = np.add.reduceat(count[order], first) > 1
+    live = order[np.repeat(many, np.diff(np.r_[first, len(order)]))]
     if within:
         live = np.union1d(live, np.flatnonzero(rows.column("twice").to_numpy(zero_copy_only=False)))
     if not len(live):
         return None
-    ident, begin = ident[live], begin[live].astype(np.int64)
+    place = np.frombuffer(b"".join(rows.column("places").take(pa.array(live)).to_pylist()), PLACE)
+    count = count[live]
     w = Words(text.take(pa.array(live)).cast(pa.large_binary()), lowered=True)
     word = w.strings().dictionary_encode().indices.to_numpy().astype(np.int64)
     suffixes = np.diff(w.first) - (min_words - 1)
     row = np.repeat(np.arange(len(live)), suffixes)
-    step = np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(suffixes)[:-1]], suffixes)
+    step = ragged_arange(suffixes)
     number = np.full(len(word), -1, np.int64)
     number[w.first[row] + step] = np.arange(len(row))
     at = bucket_pointer_refinement(word, depth_limit=min_words)
@@ -251,15 +280,18 @@ def repeating(rows: pa.RecordBatch, min_words: int, within: bool) -> pa.RecordBa
     for j in range(min_words):
         same = same[word[at[same] + j] == word[at[same - 1] + j]]
         if not len(same):
-            return None
+            break
     new = np.ones(len(at), bool)
     new[same] = False
     group = np.flatnonzero(new)
     own = number[at]
-    who, place = ident[row[own]], (begin[row] + step)[own]
-    repeats = np.minimum.reduceat(who, group) != np.maximum.reduceat(who, group)
+    # the least and the greatest (id, begin) of each class of equal suffixes
+    edge = np.r_[0, np.cumsum(count)[:-1]]
+    low, high = (f.reduceat(place["id"], edge) for f in (np.minimum, np.maximum))
+    repeats = np.minimum.reduceat(low[row[own]], group) != np.maximum.reduceat(high[row[own]], group)
     if within:
-        repeats |= np.minimum.reduceat(place, group) != np.maximum.reduceat(place, group)
+        low, high = (f.reduceat(place["begin"], edge) for f in (np.minimum, np.maximum))
+        repeats |= np.minimum.reduceat((low[row] + step)[own], group) != np.maximum.reduceat((high[row] + step)[own], group)
     hit = np.zeros(len(row), bool)
     hit[own] = np.repeat(repeats, np.diff(np.r_[group, len(at)]))
     if not hit.any():
@@ -267,8 +299,12 @@ def repeating(rows: pa.RecordBatch, min_words: int, within: bool) -> pa.RecordBa
     opens = hit & ~(np.r_[False, hit[:-1]] & (step > 0))
     closes = hit & ~(np.r_[hit[1:], False] & np.r_[step[1:] > 0, False])
     a, b = np.flatnonzero(opens), np.flatnonzero(closes)
+    # each span at each of its stretch's places
+    times = count[row[a]]
+    span = np.repeat(np.arange(len(a)), times)
+    where = place[np.repeat(edge[row[a]], times) + ragged_arange(times)]
     return pa.RecordBatch.from_arrays(
-        [pa.array(ident[row[a]]), pa.array((begin[row[a]] + step[a]).astype(np.int32)), pa.array((begin[row[b]] + step[b] + min_words).astype(np.int32))],
+        [pa.array(np.ascontiguousarray(where["id"])), pa.array((where["begin"] + step[a][span]).astype(np.int32)), pa.array((where["begin"] + step[b][span] + min_words).astype(np.int32))],
         names=["id", "start", "end"],
     )
 
@@ -348,7 +384,7 @@ def repeated_passages(
     often = counts.where(F.col("n") > hot_words).orderBy(F.desc("n"), "anchor").limit(MAX_HOT).select("anchor").toArrow()
     hot = np.sort(often.column("anchor").to_numpy().astype(np.int64).view(U64))
     sent = spark.sparkContext.broadcast(hot)
-    stretches = base.mapInArrow(_emitter(min_words, anchor, sent), "anchor long, id long, begin int, twice boolean, words binary")
+    stretches = base.mapInArrow(_emitter(min_words, anchor, sent, within), "anchor long, places binary, twice boolean, words binary")
     together = stretches.repartition("anchor").sortWithinPartitions("anchor")
     runs = together.mapInArrow(_sorter(min_words, within, CHUNK_WORDS), "id long, start int, end int")
     if len(hot):

@@ -118,7 +118,7 @@ def test_query_runs_the_refinement(spark, monkeypatch):
         value = np.zeros(0, np.uint64)
 
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(texts)], names=["id", "text"])
-    sent = pa.Table.from_batches(suffix_dedup._emitter(5, 2, Hot)(iter([batch]))).sort_by("anchor").combine_chunks()
+    sent = pa.Table.from_batches(suffix_dedup._emitter(5, 2, Hot, False)(iter([batch]))).sort_by("anchor").combine_chunks()
     out = list(suffix_dedup._sorter(5, False, 1000)(iter(sent.to_batches())))
     assert asked and sorted(r for b in out for r in zip(*b.to_pydict().values()))[0][0] == 1
     assert {b.to_pydict()["id"][k] for b in out for k in range(b.num_rows)} == {1, 2}
