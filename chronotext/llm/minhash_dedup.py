@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ N_HASHES = 128
 N_BANDS = 32
 SHINGLE = 3
 THRESHOLD = 0.5
+BLOCK = 512
 
 
 def _family(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -97,8 +99,8 @@ def _signer(n_hashes: int, bands: int, shingle: int):
     return sign
 
 
-def _verified(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
-    """(u, v) plus same: the share of equal minima reaches the threshold."""
+def _verified(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(u, v) plus same: how many minima are equal."""
     left = sigs.select(F.col("id").alias("u"), F.col("sig").alias("su"))
     right = sigs.select(F.col("id").alias("v"), F.col("sig").alias("sv"))
     joined = pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv")
@@ -107,11 +109,110 @@ def _verified(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1) for c in ("su", "sv"))
-            same = (a == b).mean(axis=1) >= threshold
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(same)], names=["u", "v", "same"])
+            a, b = (_matrix(batch.column(c)) for c in ("su", "sv"))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array((a == b).sum(axis=1).astype(np.int32))], names=["u", "v", "same"])
 
-    return joined.mapInArrow(compare, "u long, v long, same boolean")
+    # several signatures of one id: the best counts
+    return joined.mapInArrow(compare, "u long, v long, same int").groupBy("u", "v").agg(F.max("same").alias("same"))
+
+
+def _matrix(sigs: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs.to_pylist()), dtype=np.uint16).reshape(len(sigs), -1)
+
+
+def _in_blocks(least: int):
+    """Links between rows of one (key, i, j) whose clusters differ: a spanning forest of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def links(rows: pa.RecordBatch) -> pa.RecordBatch:
+            key, i, j, block = (rows.column(c).to_numpy() for c in ("key", "i", "j", "block"))
+            cut = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            ident, cluster, sig = rows.column("id").to_numpy(), rows.column("cluster").to_numpy(), _matrix(rows.column("sig"))
+            u, v = [], []
+            for lo, hi in zip(np.r_[0, cut].tolist(), np.r_[cut, len(key)].tolist()):
+                label = np.unique(cluster[lo:hi], return_inverse=True)[1]
+                for k in range(lo, hi - 1):
+                    other = np.flatnonzero(label[k + 1 - lo :] != label[k - lo]) + k + 1
+                    if i[lo] != j[lo]:  # within a block all are compared where i = j
+                        other = other[block[other] != block[k]]
+                    near = other[(sig[other] == sig[k]).sum(axis=1) >= least]
+                    for m in near.tolist():
+                        if label[m - lo] != label[k - lo]:  # not linked by now
+                            u.append(ident[k])
+                            v.append(ident[m])
+                            label[label == label[m - lo]] = label[k - lo]
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = [batch.column(c).to_numpy() for c in ("key", "i", "j")]
+            new = np.flatnonzero(np.any([p[1:] != p[:-1] for p in place], axis=0)) + 1
+            if held and any(held[-1].column(c)[-1].as_py() != p[0] for c, p in zip(("key", "i", "j"), place)):
+                yield links(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                held = []
+            if len(new):
+                held.append(batch.slice(0, int(new[-1])))
+                yield links(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                held = []
+            held.append(batch.slice(int(new[-1]) if len(new) else 0))
+        if held:
+            yield links(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return run
+
+
+def _links(sigs: DataFrame, least: int, n: int) -> DataFrame:
+    """Verified links (u, v) that connect all that links within buckets connect.
+
+    Every member of a bucket is compared with its least id; those that aren't like
+    it are compared with the least id among them.  Members of one cluster are
+    connected by that.  Members of different clusters are compared as far as their
+    counts of equal minima with the two centres leave it open: unequal minima are
+    a distance, so members near their centre can't be like what is far from it.
+    Those comparisons run in blocks of at most about 2 * BLOCK rows.
+    """
+    keyed = sigs.select("id", F.explode("keys").alias("key"))
+    # sums by key are partial before the exchange; the join splits hot keys
+    centers = written(keyed.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("far")).where("center < far").select("key", "center"), "minhash-centers")
+    shared = written(keyed.join(centers, "key").select("key", "id", "center"), "minhash-buckets")
+    one_each = sigs.select("id", "sig")
+    star = shared.where("id <> center").select(F.col("center").alias("u"), F.col("id").alias("v")).distinct()
+    first = written(_verified(star, one_each), "minhash-star")
+    links = first.where(F.col("same") >= least).select("u", "v")
+    failed = first.where(F.col("same") < least)
+    if failed.isEmpty():
+        return links
+    failed = failed.select(F.col("u").alias("center"), F.col("v").alias("id"), F.col("same").alias("same1"))
+    loose = written(shared.join(failed, ["center", "id"]).select("key", "id", "same1"), "minhash-loose")
+    again = loose.groupBy("key").agg(F.min("id").alias("center2"), F.max("same1").alias("top1"))
+    second = loose.join(again, "key").select("key", "id", "same1", "center2")
+    pairs = second.where("id <> center2").select(F.col("center2").alias("u"), F.col("id").alias("v")).distinct()
+    found = written(_verified(pairs, one_each), "minhash-star")
+    links = links.union(found.where(F.col("same") >= least).select("u", "v"))
+    found = found.select(F.col("u").alias("center2"), F.col("v").alias("id"), F.col("same").alias("same2"))
+    second = second.join(found, ["center2", "id"], "left").withColumn("same2", F.coalesce("same2", F.lit(n)))
+    second = written(second.select("key", "id", "same1", "center2", "same2"), "minhash-loose")
+    # the first cluster's members of those buckets, with what the distances say of both sides
+    own = first.where(F.col("same") >= least).select(F.col("u").alias("center"), F.col("v").alias("id"), F.col("same").alias("same1"))
+    near = shared.join(again, "key").join(own, ["center", "id"], "left").where("same1 is not null or id = center")
+    near = near.select("key", "id", "center", F.coalesce("same1", F.lit(n)).alias("same1"), "top1")
+    low = near.groupBy("key").agg(F.min("same1").alias("low1"))
+    rest = second.groupBy("key").agg(F.max(F.when(F.col("same2") < least, F.col("same2"))).alias("top2"))
+    gap = n - least  # d(x, y) >= |d(x, c) - d(y, c)|, and alike means a distance of at most gap
+    rim = near.where(F.col("same1") <= F.col("top1") + gap).select("key", "id", F.col("center").alias("cluster"))
+    far = second.join(low, "key").join(rest, "key")
+    open_ = (F.col("same2") < least) | (F.col("same1") >= F.col("low1") - gap) | (F.col("same2") <= F.col("top2") + gap)
+    cluster = F.when(F.col("same2") >= least, F.col("center2")).otherwise(-1 - F.col("id"))
+    members = rim.union(far.where(open_).select("key", "id", cluster.alias("cluster")))
+    several = members.groupBy("key").agg(F.count_distinct("cluster").alias("clusters"), F.count("*").alias("n")).where("clusters > 1")
+    blocks = members.join(several.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
+    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = blocks.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "cluster").join(one_each, "id")
+    spread = blocks.select("key", "i", "j", "block", "id", "cluster", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return links.union(spread.mapInArrow(_in_blocks(least), "u long, v long"))
 
 
 def near_duplicate_groups(
@@ -123,51 +224,35 @@ def near_duplicate_groups(
     bands: int = N_BANDS,
     shingle: int = SHINGLE,
 ) -> DataFrame:
-    """(doc_id, group_id) for every document that shares its group with another one.
+    """(doc_id, group_id, n_links) for every document that shares its group with another one.
 
     group_id is the least doc_id of the group; the group's own first document
     has a row too.  Similarity is the estimated Jaccard index of sets of
-    3-word shingles, linked where it reaches the threshold; groups are the
-    connected components of the links.
+    3-word shingles (the share of equal minima, by their low 16 bits), linked
+    where it reaches the threshold; groups are the connected components of the
+    links.  n_links counts the verified links of a document that hold the groups
+    together; links within a cluster whose members are connected already aren't
+    sought.
 
-    In each band bucket every member is verified against the bucket's least id.
-    Members that fail are verified against every other member of that bucket, so
-    no partner is left out and buckets of copies cost one comparison a member.
+    Within a band bucket no link between members that aren't connected yet is
+    left out, and buckets of copies cost one comparison a member; members that
+    are like neither centre of their bucket are compared in blocks.
 
     Nulls: a null id or null text is in no group.  Texts without any word
     (empty, only punctuation) are in no group.  Texts shorter than a shingle
     count as one shingle.  Repeated rows of one id are one document; if their
     texts differ, it is alike whatever any of them is alike.  Whole texts are
     read, however long.  An empty table gives no rows.  Other columns are ignored.
+    Ids are cast to long.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     sigs = written(base.mapInArrow(_signer(n_hashes, bands, shingle), "id long, sig binary, keys array<long>"), "minhash")
-    keyed = sigs.select("id", F.explode("keys").alias("key"))
-    bucket = Window.partitionBy("key")
-    # rows alone in their bucket end here; what is left is small and read three times
-    shared = written(
-        keyed.withColumn("center", F.min("id").over(bucket)).withColumn("far", F.max("id").over(bucket)).where("center < far").select("key", "id", "center"),
-        "minhash-buckets",
-    )
-    one_each = sigs.select("id", "sig")
-    star = shared.where("id <> center").select(F.col("center").alias("u"), F.col("id").alias("v")).distinct()
-    first = written(_verified(star, one_each, threshold).groupBy("u", "v").agg(F.max("same").alias("same")), "minhash-star")
-    failed = first.where("not same").select(F.col("u").alias("center"), F.col("v").alias("id"))
-    loose = shared.join(failed, ["center", "id"], "left_semi").select("key", "id")
-    others = shared.where("id <> center").select("key", F.col("id").alias("other"))
-    rest = (
-        loose.join(others, "key")
-        .where("id <> other")
-        .select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v"))
-        .distinct()
-        .join(first, ["u", "v"], "left_anti")
-    )
-    links = first.where("same").select("u", "v").union(_verified(rest, one_each, threshold).where("same").select("u", "v"))
+    links = written(_links(sigs, math.ceil(threshold * n_hashes - 1e-9), n_hashes).where("u <> v").distinct(), "minhash-links")
     roots = cut(connected_components(links))
-    return (
-        roots.select(F.col("u").alias("doc_id"), F.col("root").alias("group_id"))
-        .union(roots.select(F.col("root").alias("doc_id"), F.col("root").alias("group_id")).distinct())
-    )
+    degree = links.select(F.col("u").alias("doc_id")).union(links.select("v")).groupBy("doc_id").agg(F.count("*").alias("n_links"))
+    members = roots.select(F.col("u").alias("doc_id"), F.col("root").alias("group_id"))
+    members = members.union(roots.select(F.col("root").alias("doc_id"), F.col("root").alias("group_id")).distinct())
+    return members.join(degree, "doc_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:

@@ -88,3 +88,41 @@ def test_odd_rows_and_filter(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 7, 9, 100]
     assert near_duplicate_groups(docs.limit(0)).count() == 0 and drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_work_in_a_bucket_of_unlike_members_is_bounded(spark, monkeypatch):
+    """Members of one bucket that are all unlike, and two clusters in it: no pair is lost, none is emitted but links."""
+    from chronotext.llm import minhash_dedup
+
+    rng = np.random.default_rng(5)
+    n, width = 3000, 128
+    sig = rng.integers(0, 1 << 16, (n, width)).astype(np.uint16)
+    sig[1000:1500] = sig[1000]  # a second cluster, tight
+    sig[2000:2010, :70] = sig[2000, :70]  # alike in 70 of 128
+    sig[2500:2510, :63] = sig[2500, :63]  # not alike
+    sig[40, :64] = sig[0, :64]
+    sig[41, 20:84] = sig[40, 20:84]  # like a member of the first cluster, not like its centre
+    rows = [(i, bytearray(sig[i].tobytes()), [7]) for i in range(n)]
+    sigs = spark.createDataFrame(rows, "id long, sig binary, keys array<long>").repartition(4)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 200)
+    links = minhash_dedup._links(sigs, 64, width).collect()
+    same = lambda u, v: int((sig[u] == sig[v]).sum())
+    assert all(same(r.u, r.v) >= 64 for r in links) and len(links) < 3 * n
+    root = list(range(n))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in links:
+        root[max(top(r.u), top(r.v))] = min(top(r.u), top(r.v))
+    got = {i: top(i) for i in range(n) if top(i) != i}
+    want = {i: 1000 for i in range(1001, 1500)} | {i: 2000 for i in range(2001, 2010)} | {40: 0, 41: 0}
+    assert got == want
+
+
+def test_number_of_links(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, text), (4, "other words here and there")], "doc_id long, text string")
+    assert {(r.doc_id, r.group_id, r.n_links) for r in near_duplicate_groups(docs).collect()} == {(1, 1, 2), (2, 1, 1), (3, 1, 1)}
