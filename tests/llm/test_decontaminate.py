@@ -102,3 +102,53 @@ def test_nulls_empty_repeats_and_extra_columns(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4]
     empty = docs.limit(0)
     assert leaks(empty, index).count() == 0 and drop_leaks(docs, index_of(bench.limit(0))).count() == 6
+
+
+def test_short_items_are_found_word_for_word():
+    items = ["What is the capital of France? Paris.", "Paris", "forty two", "no", "an ox", "?!"]
+    index = Index(list(range(6)), items)
+    assert len(index.ids) == 5
+    texts = ["He asked: what is the CAPITAL of france -- Paris. No!", "comparison of parishes", "forty-two; an  ox", "an oxen know", "", None, "paris"]
+    found = find(pa.array(texts), index)
+    want = {(0, 0), (0, 1), (0, 3), (2, 2), (2, 4), (6, 1)}
+    assert {(d, i) for d, i, *_ in found} == want
+    for d, i, s, e, k in found:
+        assert k == 0 and normal_text(texts[d][s:e]) == normal_text(items[i])
+    assert not find(pa.array(["what is the capitol of france paris"]), index)[1:]  # one sign off: only the word itself
+
+
+def test_items_with_a_common_prompt_cost_little():
+    """Items that share a prompt, and a text that holds it again and again."""
+    import time
+
+    rng = random.Random(7)
+    prompt = prose(rng, 30)[:110]
+    items = [prompt + " " + prose(rng, 6) for _ in range(20)]
+    text = " ".join(prompt + " " + prose(rng, 1) for _ in range(60)) + " " + items[3]
+    index = Index(list(range(20)), items)
+    find(pa.array([text[:200]]), index)
+    began = time.process_time()
+    found = find(pa.array([text]), index)
+    assert time.process_time() - began < 2
+    whole = normal_text(text)
+    want = {i for i, x in enumerate(items) if best_edits(normal_text(x), whole) <= budget(len(normal_text(x).encode()))}
+    assert {i for _, i, *_ in found} == want and 3 in want
+
+
+def test_counting_in_parts_gives_the_same(monkeypatch):
+    from chronotext.llm import decontaminate
+
+    rng = random.Random(9)
+    items = [prose(rng, rng.randint(3, 40)) for _ in range(30)]
+    texts = [" ".join([prose(rng, 30), edited(rng, rng.choice(items), 4), prose(rng, 10)]) for _ in range(40)]
+    index = Index(list(range(30)), items)
+    want = find(pa.array(texts), index)
+    monkeypatch.setattr(decontaminate, "EXPANDED", 50)
+    monkeypatch.setattr(decontaminate, "SIDE_BY_SIDE", 3)
+    assert find(pa.array(texts), index) == want and want
+
+
+def test_large_benchmarks_are_an_error(spark):
+    bench = spark.createDataFrame([(1, "word " * 100)], "item_id long, text string")
+    with pytest.raises(ValueError):
+        index_of(bench, max_bytes=100)
