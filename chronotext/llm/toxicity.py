@@ -16,17 +16,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronotext.llm._kernels import U64, Words, char_positions, mix, slices
+from chronotext.llm._kernels import U64, Words, char_positions, mix, ragged_arange, slices
 from chronotext.llm._spark import table
 from chronotext.llm.minhash_dedup import band_keys, signatures
 
 TABLE_BITS = 22
 PREFIXES = (5, 6, 7, 8, 9)
 SUFFIXES = (4, 6)
-MAX_CHAIN = 128
+#: words of a chain that are worked through together; longer chains carry their messages from piece to piece
+PIECE = 128
+#: training sample: rows of either label, bytes of their texts, chains without a toxic word
+MAX_TOXIC, MAX_OTHER, MAX_BYTES, QUIET_CHAINS = 1000, 3000, 48 << 20, 12_000
 _BREAK = np.zeros(256, dtype=bool)
 for _c in b".!?\n\r":
     _BREAK[_c] = True
@@ -91,7 +94,7 @@ def _cell(h: np.ndarray) -> np.ndarray:
 
 
 def chains(w: Words) -> np.ndarray:
-    """First word of each chain: a sentence, cut every MAX_CHAIN words; one more entry closes the last."""
+    """First word of each chain, a sentence of any length; one more entry closes the last."""
     n = len(w)
     if not n:
         return np.zeros(1, dtype=np.int64)
@@ -100,9 +103,7 @@ def chains(w: Words) -> np.ndarray:
     new = np.ones(n, dtype=bool)
     new[1:] = breaks[w.start[1:]] > breaks[w.end[:-1]]
     new[w.first[:-1][w.first[:-1] < n]] = True
-    at = np.flatnonzero(new)
-    inside = np.arange(n) - np.repeat(at, np.diff(np.r_[at, n]))
-    return np.r_[np.flatnonzero(inside % MAX_CHAIN == 0), n]
+    return np.r_[np.flatnonzero(new), n]
 
 
 def _cells_of(w: Words, first: np.ndarray) -> np.ndarray:
@@ -127,31 +128,62 @@ def emissions(cells: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray
     return e
 
 
+def _messages(e: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Forward log-odds of each word, over all chains at once, one time step after another.
+
+    A step maps the odds before to (t01 + t11 x) / (t00 + t10 x) times the word's
+    own: a product of 2x2 matrices.  The pieces of long chains are multiplied out
+    side by side, then each gets what comes in from the piece before it.
+    """
+    a = np.empty_like(e)
+    size = np.diff(first)
+    if not len(size):
+        return a
+    t = np.exp(trans)
+    pieces = -(-size // PIECE)
+    chain, place = np.repeat(np.arange(len(size)), pieces), ragged_arange(pieces)
+    start = first[:-1][chain] + place * PIECE
+    length = np.minimum(first[1:][chain] - start, PIECE)
+    before = np.full(len(start), np.nan)
+    going_on = np.flatnonzero(place < pieces[chain] - 1)
+    if len(going_on):
+        m = np.zeros((2, 2, len(going_on)))  # rows: numerator and denominator of the odds after, by those before
+        m[0, 0] = m[1, 1] = 1
+        heads = place[going_on] == 0
+        for k in range(PIECE):
+            x = np.exp(np.clip(e[start[going_on] + k], -50, 50))
+            num, den = x * (t[0, 1] * m[1] + t[1, 1] * m[0]), t[0, 0] * m[1] + t[1, 0] * m[0]
+            if k == 0:  # nothing comes before a chain's first word
+                num[:, heads], den[:, heads] = np.stack([0 * x, x])[:, heads], np.array([[0.0], [1.0]])
+            m = np.stack([num, den]) / np.maximum(num, den).max(axis=0)
+        order = np.argsort(place[going_on], kind="stable")
+        cut = np.searchsorted(place[going_on][order], np.arange(int(place.max()) + 1))
+        for lo, hi in zip(cut, np.r_[cut[1:], len(order)]):
+            own = order[lo:hi]
+            odds = np.exp(np.clip(np.nan_to_num(before[going_on[own]]), -50, 50))
+            num, den = m[:, 0, own] * odds + m[:, 1, own]
+            before[going_on[own] + 1] = np.log(np.maximum(num, 1e-300)) - np.log(np.maximum(den, 1e-300))
+    order = np.argsort(-length, kind="stable")
+    start, length, before = start[order], length[order], before[order]
+    live = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
+    for k in range(length[0]):
+        at = start[: live[k]] + k
+        x = np.exp(np.clip(a[at - 1] if k else before, -50, 50))
+        step = np.log((t[0, 1] + t[1, 1] * x) / (t[0, 0] + t[1, 0] * x))
+        a[at] = e[at] + (step if k else np.nan_to_num(step))
+    return a
+
+
 def marginals(e: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward-backward over all chains at once, one time step after another.
+    """Forward-backward over all chains.
 
     e: log-odds of the toxic label for each word.  Returns the marginal log-odds
     of each word, and the forward and backward parts.  Both messages are kept as
     the log-odds between the two labels, which is all the marginals need.
     """
-    t = np.exp(trans)
-    a, b = np.empty_like(e), np.zeros_like(e)
-    size = np.diff(first)
-    order = np.argsort(-size, kind="stable")
-    start, size = first[:-1][order], size[order]
-    if not len(size):
-        return e, a, b
-    live = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
-    at = start
-    a[at] = e[at]
-    for k in range(1, size[0]):
-        at = start[: live[k]] + k
-        x = np.exp(np.clip(a[at - 1], -50, 50))
-        a[at] = e[at] + np.log((t[0, 1] + t[1, 1] * x) / (t[0, 0] + t[1, 0] * x))
-    for k in range(size[0] - 2, -1, -1):
-        at = start[: live[k + 1]] + k
-        x = np.exp(np.clip(e[at + 1] + b[at + 1], -50, 50))
-        b[at] = np.log((t[1, 0] + t[1, 1] * x) / (t[0, 0] + t[0, 1] * x))
+    a = _messages(e, first, trans)
+    # backwards it is the same with the labels of a transition exchanged
+    b = _messages(e[::-1], (first[-1] - first)[::-1], trans.T)[::-1] - e
     return a + b, a, b
 
 
@@ -220,11 +252,12 @@ def one_per_family(texts: pa.Array) -> np.ndarray:
 
 def token_labels(w: Words, toxic: np.ndarray) -> np.ndarray:
     """1 for each word of a toxic document that has a feature bound to the toxic label."""
-    word, pre, suf = word_features(w)
+    parts = [(mix(x), *p) for x, p, _ in map(word_features, _blocks(w, 1 << 20))]
+    families = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, U64)]
+    del parts
     owner = w.text_of_word()
     n_bad, n_good = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     rate = n_bad / (n_bad + n_good)
-    families = [mix(word), *pre]
     counts = []
     for h in families:
         live = np.flatnonzero(h)
@@ -239,7 +272,7 @@ def token_labels(w: Words, toxic: np.ndarray) -> np.ndarray:
         often = n >= 3
         counts.append((name[begin][often], bad[often], (n - bad)[often]))
     tried = sum(len(names) for names, _, _ in counts)
-    y = np.zeros(len(word), dtype=np.int64)
+    y = np.zeros(len(w), dtype=np.int64)
     for h, (names, bad, good) in zip(families, counts):
         n = bad + good
         share = np.clip(bad / np.maximum(n, 1), 1e-9, 1 - 1e-9)
@@ -250,10 +283,12 @@ def token_labels(w: Words, toxic: np.ndarray) -> np.ndarray:
     return y & toxic[owner]
 
 
-def train(texts: pa.Array, toxic: list[int], seed: int = 11) -> Crf:
+def train(texts: pa.Array, toxic: list[int], seed: int = 11, quiet_chains: int = QUIET_CHAINS) -> Crf:
     """A field from labelled documents; a third of them is held out to set the document thresholds.
 
-    Without any toxic label, or without any feature bound to it, nothing is ever toxic.
+    All chains with a toxic word are learned from, and of the others four times as
+    many, quiet_chains at least.  Without any toxic label, or without any feature
+    bound to it, nothing is ever toxic.
     """
     arr = pc.fill_null(texts, "")
     label = np.array([int(bool(x)) for x in toxic], dtype=np.int64)
@@ -269,21 +304,25 @@ def train(texts: pa.Array, toxic: list[int], seed: int = 11) -> Crf:
         return none
     first = chains(w)
     held = rng.random(len(arr)) < 1 / 3
-    owner = w.text_of_word()
-    c_owner = owner[first[:-1]]
+    c_owner = np.searchsorted(w.first, first[:-1], side="right") - 1
     c_toxic = np.add.reduceat(y, first[:-1]) > 0
     pick = np.flatnonzero(c_toxic & ~held[c_owner])
     rest = np.flatnonzero(~c_toxic & ~held[c_owner])
-    rest = rng.permutation(rest)[: max(4 * len(pick), 12000)]
+    rest = rng.permutation(rest)[: max(4 * len(pick), quiet_chains)]
     pick = np.sort(np.r_[pick, rest])
-    cells = _cells_of(w, first)
     size = np.diff(first)[pick]
-    words = np.repeat(first[:-1][pick], size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
-    used, weights, bias, trans = fit(cells[:, words], np.r_[0, np.cumsum(size)], y[words])
+    words = np.repeat(first[:-1][pick], size) + ragged_arange(size)
+    cells, done = [], 0
+    for own in _blocks(w, 1 << 20):
+        lo, hi = np.searchsorted(words, [done, done + len(own)])
+        cells.append(_cells_of(own, chains(own))[:, words[lo:hi] - done])
+        done += len(own)
+    used, weights, bias, trans = fit(np.concatenate(cells, axis=1), np.r_[0, np.cumsum(size)], y[words])
+    del cells
     big = np.abs(weights) > 1e-3
     crf = Crf(used[big], weights[big].astype(np.float32), bias, trans)
-    p = _sigmoid(marginals(emissions(cells, crf.dense(), bias), first, trans)[0])
-    score = np.bincount(owner, weights=p * (p > 0.5), minlength=len(arr))
+    table_ = crf.dense()
+    score = np.concatenate([_said(own, table_, crf)[1] for own in _blocks(w, 1 << 20)])
     share = score / np.maximum(np.diff(w.first), 1)
     if not (held & (label == 1)).any():
         held[:] = True
@@ -301,21 +340,34 @@ def train(texts: pa.Array, toxic: list[int], seed: int = 11) -> Crf:
     return crf
 
 
-def fit_on_labels(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_other: int = 3000) -> Crf:
-    """Trains on at most max_toxic + max_other labelled rows, chosen by a hash of their id."""
+def fit_on_labels(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_other: int = MAX_OTHER, max_bytes: int = MAX_BYTES) -> Crf:
+    """Trains on at most max_toxic + max_other labelled rows, chosen by a hash of their id, whole texts of max_bytes together.
+
+    A text that would exceed max_bytes is passed over.  Null ids and labels are
+    left out; an id with both labels counts for both; of several texts of an id the
+    least is taken.
+    """
     rows = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic is not null").distinct()
     mark = F.xxhash64("id")
     some = rows.where("toxic = 1").orderBy(mark, "id").limit(max_toxic).union(rows.where("toxic = 0").orderBy(mark, "id").limit(max_other))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null")
-    got = texts.join(F.broadcast(some), "id").select("id", "text", "toxic").orderBy("id", "text", "toxic").toArrow()
+    chosen = texts.join(F.broadcast(some.select("id").distinct()), "id").groupBy("id").agg(F.min("text").alias("text"))
+    sized = chosen.withColumn("size", F.octet_length("text")).withColumn("mark", mark)
+    upto = F.sum(F.col("size").cast("long")).over(Window.orderBy("mark", "id"))  # some thousand rows
+    got = sized.withColumn("upto", upto).where(F.col("upto") <= max_bytes).join(F.broadcast(some), "id").select("id", "text", "toxic").orderBy("id", "text", "toxic").toArrow()
     return train(got.column("text").combine_chunks(), got.column("toxic").to_pylist())
 
 
-def _score(texts: pa.Array, table_: np.ndarray, crf: Crf) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    w = Words(texts)
+def _said(w: Words, table_: np.ndarray, crf: Crf) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of each word, and the score of each text."""
     first = chains(w)
     p = _sigmoid(marginals(emissions(_cells_of(w, first), table_, crf.bias), first, crf.trans)[0])
-    score = np.bincount(w.text_of_word(), weights=p * (p > 0.5), minlength=len(texts))
+    return p, np.bincount(w.text_of_word(), weights=p * (p > 0.5), minlength=len(w.first) - 1)
+
+
+def _score(texts: pa.Array, table_: np.ndarray, crf: Crf) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    w = Words(texts)
+    p, score = _said(w, table_, crf)
     share = score / np.maximum(np.diff(w.first), 1)
     return w, p, score, (score >= crf.min_words) & (share >= crf.min_share)
 
@@ -324,7 +376,7 @@ def toxic_spans(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str
     """(doc_id, score, toxic, spans) of each document that the model rejects.
 
     score: the expected number of toxic words among those with a marginal above
-    one half.  spans: the offending words as (start, end, p), in characters of
+    one half; sentences are chains of any length.  spans: the offending words as (start, end, p), in characters of
     the text; neighbouring offending words are one span with the largest p.
     The offsets are those of the lower-cased text where lower-casing changes a
     length (some dotted capital letters).
@@ -332,7 +384,7 @@ def toxic_spans(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str
     Null and empty texts are never toxic.  A null id is kept as null.  Repeated
     rows each give a row.  Whole texts are scored, however long.  No documents
     give no rows; no labels give a model that rejects nothing.  Other columns
-    are ignored.
+    are ignored.  Ids are cast to long.
     """
     sent = docs.sparkSession.sparkContext.broadcast(crf)
 
@@ -366,7 +418,12 @@ def toxic_spans(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str
 
 
 def drop_toxic(docs: DataFrame, crf: Crf, text_col: str = "text") -> DataFrame:
-    """docs without the rows that the model rejects: one pass, no shuffle, all columns kept; null texts stay."""
+    """docs without the rows that the model rejects: one pass, no shuffle, all columns kept.
+
+    Rows with a null or empty text stay, and so do rows with a null id that aren't
+    toxic; repeated rows are judged one by one, by their whole texts.  No rows give
+    no rows; a model without labels drops nothing.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(crf)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,6 +29,24 @@ def test_marginals_are_those_of_all_sequences():
         assert p[a:b] == pytest.approx(brute(e[a:b], trans)[0])
 
 
+def test_long_chains_are_not_cut(monkeypatch):
+    """Marginals don't depend on the size of the pieces that a chain is worked through in."""
+    rng = np.random.default_rng(4)
+    for trans in (rng.standard_normal((2, 2)), np.array([[3.0, -4.0], [-5.0, 6.0]])):
+        sizes = [700, 3, 128, 129, 1, 256, 4000]
+        first = np.r_[0, np.cumsum(sizes)]
+        e = rng.standard_normal(first[-1]) * 3
+        monkeypatch.setattr(T, "PIECE", 10_000)
+        whole = T.marginals(e, first, trans)
+        for piece in (2, 7, 128):
+            monkeypatch.setattr(T, "PIECE", piece)
+            for a, b in zip(whole, T.marginals(e, first, trans)):
+                assert b == pytest.approx(a, abs=1e-6)
+        monkeypatch.setattr(T, "PIECE", 3)
+        p = T._sigmoid(T.marginals(e[:9], np.array([0, 9]), trans)[0])
+        assert p == pytest.approx(brute(e[:9], trans)[0])
+
+
 def test_fit_finds_weights_and_transitions():
     rng = np.random.default_rng(2)
     n, first = 4000, np.arange(0, 4001, 8)
@@ -48,7 +66,7 @@ def test_fit_finds_weights_and_transitions():
 def test_chains_are_sentences():
     w = Words(pa.array(["One two. Three four five!\nSix", "seven eight", "", "x " * 300]))
     first = T.chains(w)
-    assert np.diff(first).tolist() == [2, 3, 1, 2, 128, 128, 44]
+    assert np.diff(first).tolist() == [2, 3, 1, 2, 300]
 
 
 def test_held_out_documents(spark):
@@ -78,5 +96,7 @@ def test_odd_rows_and_untrained_model(spark):
     kept = T.drop_toxic(odd, model)
     assert kept.schema == odd.schema and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 5]
     assert T.toxic_spans(odd.limit(0), model).count() == 0
+    assert T.drop_toxic(odd.limit(0), model).count() == 0
+    assert len(T.fit_on_labels(docs, labels, max_bytes=0).cells) == 1
     none = T.fit_on_labels(docs, labels.limit(0))
     assert T.toxic_spans(odd, none).count() == 0 and T.drop_toxic(odd, none).count() == 7
