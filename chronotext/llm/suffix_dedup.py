@@ -32,7 +32,7 @@ MIN_WORDS = 50
 ANCHOR = 14
 #: suffixes of one stretch at most: a text that repeats one anchor for long is cut into several stretches
 STRETCH = 1024
-#: words of an anchor's stretches beyond which its suffixes are grouped one by one
+#: words of an anchor's stretches beyond which its suffixes are grouped one by one (twice as many at most stay in a task)
 HOT_WORDS = 1_000_000
 #: anchors that can take that way (8 bytes each on every worker); with more, the least frequent of them stay in their task
 MAX_HOT = 1 << 22
@@ -159,14 +159,27 @@ class _Stretches:
         return np.add.reduceat((self.grams[at] == np.repeat(self.anchor[r], size)).astype(np.int32), first) > 1
 
 
-def _counter(min_words: int, q: int):
+def _counter(min_words: int, q: int, least: float):
+    """Words of each anchor's stretches in the task's rows; of anchors with fewer than `least` nothing is handed on."""
+
+    def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        name, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return name, np.bincount(where, weights=np.concatenate([p[1] for p in parts]), minlength=len(name)).astype(np.int64)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, n = np.zeros(0, U64), np.zeros(0, np.int64)
+        parts, held = [], 0
         for batch in batches:
             for piece in slices(batch, "text", 1 << 22):
                 s = _Stretches(piece.column("text"), min_words, q)
-                name, where = np.unique(s.anchor, return_inverse=True)
-                n = np.bincount(where, weights=s.ends - s.begins + min_words - 1, minlength=len(name)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(n)], names=["anchor", "n"])
+                parts.append(added([(s.anchor, s.ends - s.begins + min_words - 1)]))
+                held += len(parts[-1][0])
+                if held > max(len(name), 1 << 19):
+                    name, n = added([(name, n), *parts])
+                    parts, held = [], 0
+        name, n = added([(name, n), *parts])
+        often = n >= least
+        yield pa.RecordBatch.from_arrays([pa.array(name[often].view(np.int64)), pa.array(n[often])], names=["anchor", "n"])
 
     return count
 
@@ -380,7 +393,9 @@ def repeated_passages(
         raise ValueError("0 < anchor < min_words")
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    counts = base.mapInArrow(_counter(min_words, anchor), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    # an anchor of more than 2 * hot_words words has hot_words in tasks with a tasks' share of that many each
+    least = hot_words / max(1, base.rdd.getNumPartitions())
+    counts = base.mapInArrow(_counter(min_words, anchor, least), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     often = counts.where(F.col("n") > hot_words).orderBy(F.desc("n"), "anchor").limit(MAX_HOT).select("anchor").toArrow()
     hot = np.sort(often.column("anchor").to_numpy().astype(np.int64).view(U64))
     sent = spark.sparkContext.broadcast(hot)
