@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronotext.llm._kernels import IS_WORD, buffers, slices
@@ -17,6 +17,13 @@ from chronotext.llm._spark import table
 CELLS = 1 << 14
 ORDERS = (1, 2, 3)
 CENTROIDS = 4
+#: training sample: labelled rows of all languages together, bytes of a text, languages
+MAX_ROWS, MAX_BYTES, MAX_LANGS = 1200, 1 << 20, 200
+#: share of right answers that may be rejected, and pieces of training texts in each class of length to measure it by
+REJECT, PIECES = 0.001, 1000
+#: share of that quantile that is accepted still
+SLACK = 0.7
+LENGTHS = (2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048)
 _AS_SIGN = np.where(IS_WORD, np.arange(256), 32).astype(np.uint8)
 for _c in b"0123456789":
     _AS_SIGN[_c] = 32
@@ -70,7 +77,7 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Centroids:
-    """Unit centroids with their language and the least cosine that each accepts at a given length."""
+    """Unit centroids with their language, and the least cosine that is accepted by how many different n-grams a text has."""
 
     langs: list[str]
     of: np.ndarray
@@ -91,11 +98,30 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -
     return c
 
 
-def fit(texts: pa.Array, langs: list[str], centroids: int = CENTROIDS, reject: float = 0.001, seed: int = 5) -> Centroids:
-    """Spherical k-means in each language; acceptance by length from the distances of the training texts.
+def _kinds(counts: np.ndarray) -> np.ndarray:
+    """How many different n-grams each text has."""
+    return (counts > 0).sum(axis=1)
 
-    Short texts lie far from any centroid, so the least accepted cosine is taken
-    within classes of length, as the `reject` quantile of right answers less a margin.
+
+def _pieces(texts: list[str], lo: int, hi: int, n: int, rng: np.random.Generator) -> tuple[list[str], list[int]]:
+    """n pieces of lo to hi-1 signs, and the texts they are cut from; whole texts where they are no longer."""
+    able = [i for i, t in enumerate(texts) if len(t) >= lo]
+    out, of = [], []
+    for i in rng.choice(able, n) if able else []:
+        size = int(rng.integers(lo, hi))
+        a = int(rng.integers(0, max(1, len(texts[i]) - size + 1)))
+        out.append(texts[i][a : a + size])
+        of.append(int(i))
+    return out, of
+
+
+def fit(texts: pa.Array, langs: list[str], centroids: int = CENTROIDS, reject: float = REJECT, seed: int = 5) -> Centroids:
+    """Spherical k-means in each language; acceptance by pieces of the training texts.
+
+    Texts of few different n-grams lie far from any centroid, so the least accepted
+    cosine is measured in classes of how many a text has: pieces of all lengths are
+    cut from the training texts, and it is the `reject` quantile of a class's pieces
+    that are answered right, times SLACK, but no less than that of the class below.
     """
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
@@ -113,29 +139,49 @@ def fit(texts: pa.Array, langs: list[str], centroids: int = CENTROIDS, reject: f
             of += [j] * len(c)
     if not centre:
         return Centroids([], np.zeros(0, np.int64), np.zeros((0, CELLS), np.float32), idf, np.zeros(0), np.ones(1))
-    centre, of = np.concatenate(centre), np.array(of)
-    cos = x @ centre.T
-    right = live & (of[cos.argmax(axis=1)] == label)
-    size = counts[:, :256].sum(axis=1)
+    centre, of = np.concatenate(centre).astype(np.float32), np.array(of)
+    strings = texts.to_pylist()
+    cos, kinds, right = [], [], []
+    for lo in (1, *LENGTHS):
+        some, own = _pieces(strings, lo, 2 * lo + 2, PIECES, rng)
+        if some:
+            c = gram_counts(pa.array(some, pa.string()))
+            y = vectors(c, idf) @ centre.T
+            cos.append(y.max(axis=1))
+            kinds.append(_kinds(c))
+            right.append((kinds[-1] > 0) & (of[y.argmax(axis=1)] == label[own]))
+    cos, kinds, right = (np.concatenate(v) if v else np.zeros(0) for v in (cos, kinds, right))
     edges = np.array([4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048], dtype=np.float64)
     least = np.zeros(len(edges) + 1)
-    kind = np.searchsorted(edges, size, side="right")
-    best = cos.max(axis=1)
     floor = 0.0
     for b in range(len(least)):
-        own = best[right & (kind == b)]
-        if len(own) >= 20:
-            floor = 0.7 * float(np.quantile(own, reject))
-        least[b] = floor if b else 0.0
-    return Centroids(names, of, centre.astype(np.float32), idf, edges, least)
-
-
-def fit_on_labels(docs: DataFrame, max_rows: int = 1200, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Centroids:
-    """Trains on at most max_rows labelled rows, chosen by a hash of id and label."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("id is not null and lang is not null and text is not null")
-    mark = F.xxhash64("id", "lang")
-    some = rows.select("id", "lang").distinct().orderBy(mark, "id", "lang").limit(max_rows)
-    got = rows.join(F.broadcast(some), ["id", "lang"]).select("id", "lang", "text").orderBy("id", "lang", "text").toArrow()
+        some = cos[(right > 0) & (np.searchsorted(edges, kinds, side="right") == b)]
+        if len(some) >= 20:
+            floor = max(floor, SLACK * float(np.quantile(some, reject)))
+        least[b] = floor
+    return Centroids(names, of, centre, idf, edges, least)
+
+
+def fit_on_labels(docs: DataFrame, max_rows: int = MAX_ROWS, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_bytes: int = MAX_BYTES) -> Centroids:
+    """Trains on at most max_rows labelled rows of at most max_bytes each, as many of each language, chosen by a hash of their id.
+
+    Languages are those of the MAX_LANGS most rows; a rare one has all of its rows
+    in the sample.  Null ids, labels and texts are left out; of several texts of an
+    id the least is taken.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = rows.where("id is not null and lang is not null and text is not null").where(F.octet_length("text") <= max_bytes)
+    langs = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    each = max(1, max_rows // max(1, len(langs)))
+    if not langs:
+        return fit(pa.array([], pa.string()), [])
+    # three times as many as wanted by a threshold on the hash, then the first ones: no exchange of the whole table
+    share = F.create_map(*[F.lit(v) for r in langs for v in (r.lang, min(1.0, (3 * each + 30) / r.n))])
+    mark = F.xxhash64("id")
+    some = rows.where(F.pmod(mark, F.lit(1 << 30)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)) * (1 << 30))
+    one = some.groupBy("id", "lang").agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(mark, F.lit(1 << 30)), "id"))
+    got = one.withColumn("place", place).where(F.col("place") <= each).select("id", "lang", "text").orderBy("id", "lang").toArrow()
     return fit(got.column("text").combine_chunks(), got.column("lang").to_pylist())
 
 
@@ -144,12 +190,13 @@ def identified(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_c
 
     language: that of the nearest centroid; cosine: to it; margin: over the best
     centroid of another language.  rejected: the text lies further from its
-    centroid than texts of its length do; its language is then null.
+    centroid than texts of as many n-grams do; its language is then null.  A few letters
+    tell little: their language is a guess.
 
     Null and empty texts, and texts without any letter, are rejected with cosine
     0.  Equal cosines go to the language first in the alphabet.  Null ids and
     repeated rows are kept.  An empty table gives no rows; a model without
-    languages rejects all.  Other columns are ignored.
+    languages rejects all.  Other columns are ignored.  Ids are cast to long.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -180,7 +227,7 @@ def _answer(part: pa.RecordBatch, m: Centroids) -> pa.RecordBatch:
         second = np.partition(per, -2, axis=1)[:, -2]
     else:
         second = np.zeros(n)
-    size = counts[:, :256].sum(axis=1)
+    size = _kinds(counts)
     no = (top <= 0) | (size == 0) | (top < m.least[np.searchsorted(m.edges, size, side="right")])
     top = np.maximum(top, 0)
     lang = [None if r else m.langs[b] for b, r in zip(best, no)]

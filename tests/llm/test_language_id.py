@@ -37,6 +37,46 @@ def test_other_languages_are_rejected(spark):
     assert all(r.rejected and r.language is None for r in L.identified(df, model).collect())
 
 
+def test_short_foreign_texts_are_rejected(spark):
+    """Rejection doesn't hang on how many training texts are that short."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = L.fit_on_labels(docs.where("doc_id % 3 > 0"))
+    fi = "Tämä on suomenkielinen lause joka kertoo säästä ja ihmisistä kaupungissa huomenna sataa lunta koko maassa"
+    pl = "To jest polskie zdanie o pogodzie i ludziach w mieście jutro będzie padać śnieg w całym kraju"
+    other = [fi[:80], fi, fi[:40], pl[:80], pl, pl[:40], "qq", "xqzk wvvq"]
+    df = spark.createDataFrame(list(enumerate(other)), "doc_id long, text string")
+    assert [r.rejected for r in L.identified(df, model).orderBy("doc_id").collect()] == [True] * len(other)
+    rng = np.random.default_rng(1)
+    own = [(r.doc_id, r.text[a : a + n], r.lang) for r in docs.where("doc_id % 3 = 0 and n_chars > 400").limit(300).collect() for n in (40, 100, 300) for a in [int(rng.integers(0, len(r.text) - n))]]
+    got = L.identified(spark.createDataFrame([(k, t) for k, (_, t, _) in enumerate(own)], "doc_id long, text string"), model).collect()
+    assert np.mean([r.rejected for r in got]) < 0.03
+    assert np.mean([r.language == own[r.doc_id][2] for r in got if not r.rejected]) > 0.97
+
+
+def test_every_language_has_centroids(spark):
+    rows = [(i, "the and of thing here with them " * 3, "en") for i in range(3000)] + [(5000 + i, "och att det som en på är av för med " * 3, "sv") for i in range(3)] + [(9000, None, "xx"), (None, "a", "yy"), (9001, "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit_on_labels(docs, max_rows=100)
+    assert model.langs == ["en", "sv"] and set(model.of) == {0, 1}
+
+
+def test_cosines_are_those_of_plain_arithmetic(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40)
+    model = L.fit_on_labels(docs)
+    got = {r.doc_id: r for r in L.identified(docs, model).collect()}
+    for r in docs.collect():
+        count = L.gram_counts(pa.array([r.text]))[0]
+        v = {c: (1 + np.log(count[c])) * model.idf[c] for c in np.flatnonzero(count)}
+        size = sum(x * x for x in v.values()) ** 0.5
+        cos = {}
+        for lang, c in zip((model.langs[k] for k in model.of), model.centre):
+            cos[lang] = max(cos.get(lang, -1), sum(x * c[k] for k, x in v.items()) / size if size else 0)
+        best = sorted(cos, key=lambda lang: (-cos[lang], lang))
+        assert got[r.doc_id].cosine == pytest.approx(max(cos[best[0]], 0), abs=2e-4)
+        assert got[r.doc_id].rejected or got[r.doc_id].language == best[0]
+        assert got[r.doc_id].margin == pytest.approx(max(cos[best[0]] - max(cos[best[1]], 0), 0), abs=2e-4)
+
+
 def test_odd_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = L.fit_on_labels(docs)
