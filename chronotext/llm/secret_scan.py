@@ -6,14 +6,15 @@ sees the candidate with the signs before and after it, a long one in overlapping
 windows, and the parts of a candidate between delimiters.  It is trained here, on
 labelled findings that are generated from a seed: secrets of common kinds and
 what looks like them but is none (hashes named as checksums, identifiers, card
-and phone numbers, addresses, encoded pictures, long words).
+and phone numbers, addresses, encoded pictures, long words), in prose of any case
+and any signs around.  Each kind of candidate has its own threshold.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import islice
 
@@ -27,12 +28,13 @@ from chronotext.llm._kernels import slices
 
 BEFORE, BODY, AFTER = 32, 56, 12
 MIN_RUN = 12
-MIN_RECALL = 0.995
+MIN_RECALL, MOST = 0.995, 0.9
 _RUN = r"[A-Za-z0-9+/_=.~\-]"
 _NAMED = r"""(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)[A-Za-z_]{0,12}["']?\s{0,3}(?::=|=>|=|:)\s{0,3}["']?(?!-----BEGIN)(?P<named>[^\s"'<>]{6,})"""
-# a run of >= MIN_RUN signs with a digit or a capital after a small letter; a value assigned to a telling name; a key header
+# a run of >= MIN_RUN signs with a digit or a capital after a small letter; a value assigned to a telling name; a key header; a password in an address
 CANDIDATE = re.compile(
     rf"""(?P<header>-----BEGIN\ [A-Z ]*PRIVATE\ KEY-----)
+    |(?P<url>(?i:[a-z][a-z0-9+.\-]{{1,15}})://[^\s:/@"'<>]{{0,64}}:(?!//)[^\s@"'<>/]{{3,}}@)
     |{_NAMED}
     |(?<![A-Za-z0-9+/_=.~\-])(?P<run>(?={_RUN}*?(?:[0-9]|[a-z][A-Z])){_RUN}{{{MIN_RUN},}})""",
     re.X,
@@ -43,7 +45,8 @@ _SIGN = re.compile(r"[0-9]|[a-z][A-Z]")
 KEY_END = re.compile(r"-----(?:END [A-Z ]*PRIVATE KEY-----|(?P<next>BEGIN ))")
 KEY_LINES = re.compile(r"(?:(?:\s|\\n|\\r)+[A-Za-z0-9+/=]{16,}(?=\s|\\|[\"']|\Z))*")
 # what any candidate has; Arrow's matcher passes over other texts at a few nanoseconds a byte
-HINT = r"[0-9]|[a-z][A-Z]|(?i:pass|pwd|secret|token|key|auth|credential)"
+HINT = r"[0-9]|[a-z][A-Z]|://|(?i:pass|pwd|secret|token|key|auth|credential)"
+TYPES = ("named", "run", "header", "url")
 KINDS = "abcdefghijklmnopqrstuvwxyz0123456789 .,:;=_-+/\"'@%#$&*!?()[]{}<>|\\~\n"
 _CODE = np.full(256, len(KINDS) + 2, dtype=np.int64)
 for _i, _c in enumerate(KINDS):
@@ -67,9 +70,12 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     for m in matches:
         kind = m.lastgroup
         s, e = m.span(kind)
-        while kind != "header" and e > s and text[e - 1] in ".,;:!?)]}*#&%$|":
+        if kind == "url":  # the password alone
             e -= 1
-        if e - s >= (6 if kind == "named" else MIN_RUN):
+            s = text.index(":", text.index("://", s) + 3) + 1
+        while kind not in ("header", "url") and e > s and text[e - 1] in ".,;:!?)]}*#&%$|":
+            e -= 1
+        if e - s >= {"named": 6, "url": 3}.get(kind, MIN_RUN):
             out.append((s, e, kind))
     return out
 
@@ -132,7 +138,7 @@ class Net:
     p: dict[str, np.ndarray]
     scale: float = 1.0
     shift: float = 0.0
-    threshold: float = 0.5
+    thresholds: dict[str, float] = field(default_factory=lambda: dict.fromkeys(TYPES, 0.5))
 
     def logits(self, codes: np.ndarray, flags: np.ndarray, keep: dict | None = None) -> np.ndarray:
         p = self.p
@@ -201,12 +207,19 @@ def labelled_findings(n: int, seed: int) -> tuple[list[str], list[tuple[int, int
 
     syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve ch ung keit lich eau ment tion ue ción ado ñ ö ü é è".split()
 
+    def signs() -> str:
+        return one(list("!%&*#$.,;:?|~+-=)(")) * int(r.integers(1, 4))
+
     def word() -> str:
         w = "".join(one(syllables) for _ in range(r.integers(1, 5)))
-        return one([w, w, w.capitalize(), w + one([".", ",", "!", "%%%", "&&&", "***", "###"])])
+        return one([w, w, w.capitalize(), w + signs(), w + one([".", ","])])
 
     def prose() -> str:
-        return one([" ", " ", " | "]).join(word() for _ in range(r.integers(0, 12)))
+        w = [word() for _ in range(r.integers(0, 12))]
+        if r.random() < 0.12:
+            w = [x + signs() for x in w]
+        text = one([" ", " ", " | ", "\n"]).join(w)
+        return text.upper() if r.random() < 0.15 else text
 
     def quoted(v: str) -> str:
         return one(['"{}"', "'{}'", "{}", '"{}"']).format(v)
@@ -216,6 +229,10 @@ def labelled_findings(n: int, seed: int) -> tuple[list[str], list[tuple[int, int
     def value() -> str:
         return one([lambda: some("hex", 32), lambda: some("hex", 40), lambda: some("hex", 64), lambda: some("an", 16, 48), lambda: some("url", 20, 44), lambda: some("b64", 40), lambda: some("hex", 12, 24), lambda: some("hex", 16, 20), lambda: some("HEX", 32, 40), lambda: some("low9", 16, 32)])()
 
+    def weak() -> str:
+        w = one([some("low", 5, 8), "".join(one(syllables[:24]) for _ in range(r.integers(3, 5))), one(["hunter", "tiger", "dragon", "summer", "monkey", "winter", "secret", "welcome"])])
+        return one([w + some("d", 2, 4) + one(["!", "#", "$x", "?a"]), some("an", 9, 14), w + some("d", 1, 4), w + some("d", 1, 4), w.capitalize() + some("d", 1, 4) + one(["", "!"]), w[:3] + some("d", 2) + w[3:] + some("d", 0, 2)])
+
     def secret() -> tuple[str, str, str]:
         known = one([
             lambda: "AKIA" + some("UP", 16), lambda: "ASIA" + some("UP", 16), lambda: "ghp_" + some("an", 36), lambda: "gho_" + some("an", 36), lambda: "glpat-" + some("url", 20),
@@ -223,10 +240,13 @@ def labelled_findings(n: int, seed: int) -> tuple[list[str], list[tuple[int, int
             lambda: "eyJ" + some("url", 20, 40) + "." + "eyJ" + some("url", 30, 60) + "." + some("url", 43), lambda: "npm_" + some("an", 36), lambda: "SG." + some("url", 22) + "." + some("url", 43),
             lambda: "-----BEGIN " + one(["RSA ", "EC ", "", "OPENSSH "]) + "PRIVATE KEY-----", lambda: "AKIA" + some("UP", 16), lambda: "AKIA" + some("UP", 16),
         ])
+        if r.random() < 0.1:
+            v = one([lambda: some("an", 6, 20), weak, weak, lambda: some("low9", 8, 16) + one(["", "!", "#x"]), lambda: some("low", 5, 12)])()
+            return one(["postgres", "mysql", "https", "redis", "mongodb+srv", "amqp", "ftp"]) + "://" + one(["", some("low", 3, 8), some("low", 1, 2), "admin", "root"]) + ":", v, "@" + some("low", 3, 9) + one([":5432/db", ".example.com", "/0", ""])
         if r.random() < 0.45:
             return one(["", "", "key ", "export AWS_ACCESS_KEY_ID=", "use ", '"']), known(), one(["", " ", "\n", '"'])
         bearer = r.random() < 0.08
-        v = value() if bearer or r.random() < 0.8 else one([some("low", 4, 8) + some("d", 2, 4) + one(["!", "#", "$x", "?a"]), some("an", 9, 14)])
+        v = value() if bearer or r.random() < 0.6 else weak()
         sep = one([" = ", "=", ": ", ":", " := ", " => "])
         q = quoted("\1").split("\1")
         name = "Bearer" if bearer else one(names)
@@ -239,7 +259,12 @@ def labelled_findings(n: int, seed: int) -> tuple[list[str], list[tuple[int, int
             lambda: (one(["sha1 ", "commit ", "md5: ", "sha256=", "checksum: ", "digest ", "etag ", "rev ", "sha1sum ", "commit: "]), some("hex", *one([(32, 32), (40, 40), (64, 64)])), ""),
             lambda: ("", "-".join(some("hex", k) for k in (8, 4, 4, 4, 12)), ""),
             lambda: ("id=", "-".join(some("hex", k) for k in (8, 4, 4, 4, 12)), ""),
-            lambda: ("", some("d", 16), ""), lambda: ("", some("d", 12, 24), ""), lambda: ("+1 ", "-".join([some("d", 3), some("d", 3), some("d", 4), some("d", 2)]), ""),
+            lambda: (one(["", "", "card ", "no. "]), some("d", 16), ""), lambda: ("", one(["4", "5", "6"]) + some("d", 15), ""), lambda: ("", "-".join(some("d", 4) for _ in range(4)), ""), lambda: ("", some("d", 12, 24), ""),
+            lambda: ("", ".".join(str(r.integers(0, 256)) for _ in range(4)), ""), lambda: (one(["", "ip ", "from "]), ".".join(str(r.integers(100, 256)) for _ in range(4)), one(["", ":8080", "/24"])), lambda: ("", ".".join(str(r.integers(10, 256)) for _ in range(4)) + one(["", "/16"]), ""),
+            lambda: ("", one(["+", ""]) + some("d", 1, 2) + "-" + some("d", 3) + "-" + some("d", 3) + "-" + some("d", 4), ""), lambda: ("tel ", some("d", 3) + "." + some("d", 3) + "." + some("d", 4), ""), lambda: ("mac ", "-".join(some("hex", 2) for _ in range(6)), ""),
+            lambda: ("", "20" + some("d", 2) + "-" + some("d", 2) + "-" + some("d", 2) + "_" + some("d", 6), ""), lambda: ("IBAN ", one(["DE", "FR", "ES"]) + some("d", 18, 20), ""), lambda: ("", some("d", 2) + "." + some("d", 5, 7) + one(["", "-"]) + some("d", 0, 2), ""), lambda: ("", some("d", 3, 9) + "/" + some("d", 3, 6) + "-" + some("d", 4), ""),
+            lambda: ("https://" + some("low", 3, 8) + ".example.com", ":" + some("d", 4) + "/" + some("low", 3, 8) + "/" + some("d", 2, 5), ""), lambda: ("", "_".join(some("low", 3, 8) for _ in range(3)) + "_" + some("d", 1, 3), ""), lambda: ("", some("low", 4, 8) + "." + some("low", 4, 8) + some("d", 1, 2) + "@" + some("low", 4, 8) + ".com", ""),
+            lambda: (one(["http", "https", "git"]) + "://" + some("low", 2, 6) + ":", one(["password", "${PASS}", "<password>", "xxx", "****", "PASSWORD", "pass"]), "@" + some("low", 3, 8)), lambda: ("+1 ", "-".join([some("d", 3), some("d", 3), some("d", 4), some("d", 2)]), ""),
             lambda: ("", one(["the", "he", "in", "er", "jo"]) + "." + some("d", 1, 3) + one(["", "@"]) + "mail" + some("d", 1) + ".example.com", ""),
             lambda: (word() + "." + some("d", 2) + "@", "mail" + some("d", 1) + ".example.com", ""),
             lambda: ("", ".".join(some("d", 1, 3) for _ in range(4)) + one(["", ".1"]), ""), lambda: ("", ".".join(some("d", 3) for _ in range(4)), ""),
@@ -264,11 +289,12 @@ def labelled_findings(n: int, seed: int) -> tuple[list[str], list[tuple[int, int
 
 
 @lru_cache(maxsize=2)
-def train(n: int = 8000, epochs: int = 10, seed: int = 1, filters: int = 24, width: int = 5) -> Net:
-    """The network; the last quarter of the findings calibrates it and sets the threshold.
+def train(n: int = 10000, epochs: int = 8, seed: int = 1, filters: int = 24, width: int = 5) -> Net:
+    """The network; the last quarter of the findings calibrates it and sets the thresholds.
 
-    Calibration is a logistic map of the logits; the threshold is the highest one
-    that keeps the recall on those findings at MIN_RECALL or above.
+    Calibration is a logistic map of the logits; the threshold of a kind is the
+    highest one that keeps the recall on those findings of the kind at MIN_RECALL or
+    above, and MOST at most.
     """
     r = np.random.default_rng(seed)
     texts, spans, y = labelled_findings(n, seed)
@@ -299,10 +325,19 @@ def train(n: int = 8000, epochs: int = 10, seed: int = 1, filters: int = 24, wid
         b -= 0.2 * float((q - y[held]).mean())
     net.scale, net.shift = max(a, 1e-3), b
     q = net.score(codes[held], flags[held])
-    net.threshold = float(np.quantile(q[y[held] == 1], 1 - MIN_RECALL, method="lower"))
+    kinds = np.array([kind_of(texts[h], spans[h]) for h in held])
+    for kind in TYPES:
+        own = q[(kinds == kind) & (y[held] == 1)]
+        if len(own):
+            net.thresholds[kind] = min(MOST, float(np.quantile(own, 1 - MIN_RECALL, method="lower")))
     return net
 
 
+def kind_of(text: str, span: tuple[int, int]) -> str:
+    """Kind of the candidate that a labelled finding is in."""
+    return next((kind for s, e, kind in candidates(text) if s < span[1] and span[0] < e), "run")
+
+
 def hinted(texts: pa.Array) -> np.ndarray:
     """Indices of the texts that may have a candidate."""
     return np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, HINT), False).to_numpy(zero_copy_only=False))
@@ -314,7 +349,7 @@ def scan(texts: list[str | None], net: Net) -> list[tuple[int, int, int, str, fl
     hits = []
     while block := list(islice(seen, 4096)):
         p = net.score(*windows([texts[k] for k, _, _ in block], [v[1] for _, _, v in block], [v[2] for _, _, v in block]))
-        hits += [(k, *v[0], kind, float(q)) for (k, kind, v), q in zip(block, p) if q >= net.threshold]
+        hits += [(k, *v[0], kind, float(q)) for (k, kind, v), q in zip(block, p) if q >= net.thresholds[kind]]
     out: list[tuple[int, int, int, str, float]] = []
     for k, s, e, kind, q in sorted(hits, key=lambda h: (h[0], h[1], -h[2])):
         if out and out[-1][0] == k and s < out[-1][2]:
@@ -328,13 +363,15 @@ def scan(texts: list[str | None], net: Net) -> list[tuple[int, int, int, str, fl
 def secrets(docs: DataFrame, net: Net | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, end, kind, probability) of each secret, in characters of the text.
 
-    kind: "named" (a value of a telling name), "run" or "header".  Texts without a
+    kind: "named" (a value of a telling name), "run", "header" or "url" (a password
+    in an address).  Texts without a
     digit, a capital inside a word or a telling word are passed over.
 
     Null and empty texts have no rows; null ids stay null; repeated rows each
     give theirs.  Whole texts are scanned, long candidates in overlapping windows;
-    a header reaches to the END line of its key.  Empty tables give no rows; other
-    columns are ignored.
+    a header reaches to the END line of its key.  What overlaps is one finding, with
+    the first one's kind.  Empty tables give no rows; other columns are ignored.
+    Ids are cast to long.
     """
     sent = docs.sparkSession.sparkContext.broadcast(net or train())
 
@@ -354,7 +391,12 @@ def secrets(docs: DataFrame, net: Net | None = None, id_col: str = "doc_id", tex
 
 
 def redact_secrets(docs: DataFrame, net: Net | None = None, text_col: str = "text", mark: str = "[SECRET]", length_col: str | None = "n_chars") -> DataFrame:
-    """docs with each secret replaced by `mark`; all rows and columns stay, the length column follows the text if there is one."""
+    """docs with each secret replaced by `mark`; all rows and columns stay, the length column follows the text if there is one.
+
+    Null and empty texts, null ids and repeated rows stay as they are; whole texts
+    are read.  A null length of a text with a secret becomes the length of what is
+    left.  No rows give no rows; other columns, whatever their names, aren't touched.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(net or train())
     has_length = length_col in docs.columns
 
