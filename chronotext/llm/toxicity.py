@@ -238,15 +238,17 @@ def fit(cells: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int = 60, l
 
 def one_per_family(texts: pa.Array) -> np.ndarray:
     """Indices of texts that share no MinHash band with an earlier kept one: copies must not vote twice."""
-    sig, has = signatures(texts, 32)
-    keys = band_keys(sig, 8)
     seen: set[int] = set()
-    kept = []
-    for i in np.flatnonzero(has):
-        own = keys[i].tolist()
-        if seen.isdisjoint(own):
-            kept.append(i)
-        seen.update(own)
+    kept, done = [], 0
+    for piece in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+        sig, has = signatures(piece.column("text"), 32)
+        keys = band_keys(sig, 8)
+        for i in np.flatnonzero(has):
+            own = keys[i].tolist()
+            if seen.isdisjoint(own):
+                kept.append(done + i)
+            seen.update(own)
+        done += piece.num_rows
     return np.array(kept, dtype=np.int64)
 
 
