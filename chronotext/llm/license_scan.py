@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,17 +18,60 @@ from chronotext.llm.license_templates import TEMPLATES
 
 _MARK = re.compile(r'<<(beginOptional|endOptional|var;name="([^"]*)";original="([^"]*)";match="([^"]*)")>>')
 _TOKEN = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
-_SAME = {"licence": "license", "licenced": "licensed", "licences": "licenses", "noncommercial": "non-commercial", "merchantibility": "merchantability", "sub-license": "sublicense", "copyholder": "copyright"}
+_ANYTHING = re.compile(r"\.(?:([*+])|\{(\d*),(\d*)\})")
+#: spellings that count as one
+_SAME = {
+    "acknowledgement": "acknowledgment", "analogue": "analog", "analyse": "analyze", "artefact": "artifact", "authorisation": "authorization", "authorised": "authorized", "calibre": "caliber",
+    "cancelled": "canceled", "capitalisations": "capitalizations", "catalogue": "catalog", "categorise": "categorize", "centre": "center", "emphasised": "emphasized", "favour": "favor",
+    "favourite": "favorite", "fulfil": "fulfill", "fulfilment": "fulfillment", "https": "http", "initialise": "initialize", "judgement": "judgment", "labelling": "labeling", "labour": "labor",
+    "licence": "license", "licenced": "licensed", "licences": "licenses", "licencing": "licensing", "maximise": "maximize", "merchantibility": "merchantability", "modelled": "modeled",
+    "modelling": "modeling", "offence": "offense", "optimise": "optimize", "organisation": "organization", "organise": "organize", "practise": "practice", "programme": "program", "realise": "realize",
+    "recognise": "recognize", "signalling": "signaling", "utilisation": "utilization", "whilst": "while", "wilful": "willful",
+}
+#: two words that count as one, written with a hyphen, a space or neither
+_PAIRS = {("non", "commercial"): "noncommercial", ("sub", "license"): "sublicense", ("sub", "licenses"): "sublicenses", ("sub", "licensed"): "sublicensed", ("non", "infringement"): "noninfringement", ("per", "cent"): "percent", ("third", "parties"): "thirdparties"}
 
 
 def tokens(text: str) -> list[tuple[str, int, int]]:
     """(token, start, end): lower-cased words and dotted numbers, equal spellings as one; signs and spacing don't count."""
-    return [(_SAME.get(w, w), m.start(), m.end()) for m in _TOKEN.finditer(text) for w in (m.group().lower(),)]
+    out: list[tuple[str, int, int]] = []
+    for m in _TOKEN.finditer(text):
+        w = m.group().lower()
+        w = _SAME.get(w, w)
+        if out and (out[-1][0], w) in _PAIRS:
+            out[-1] = _PAIRS[out[-1][0], w], out[-1][1], m.end()
+        else:
+            out.append((w, m.start(), m.end()))
+    return out
+
+
+class Region:
+    """What a replaceable region accepts: words joined by single spaces, of any number that its expression allows."""
+
+    def __init__(self, pattern: str):
+        import regex
+
+        self.pattern = pattern
+        m = _ANYTHING.fullmatch(pattern)
+        self.any = m is not None
+        if m:
+            self.least = int(m.group(2) or 0) if m.group(1) is None else int(m.group(1) == "+")
+            self.most = int(m.group(3)) if m.group(3) else math.inf
+        else:
+            self.match = regex.compile(pattern, regex.I | regex.S).fullmatch
+
+    def takes(self, words: list[str], upto: list[int], a: int, b: int) -> tuple[bool, bool]:
+        """(accepts words[a:b], could accept more); upto: signs of the words before each."""
+        if self.any:
+            n = upto[b] - upto[a] + max(0, b - a - 1)
+            return self.least <= n <= self.most, n < self.most
+        m = self.match(" ".join(words[a:b]), partial=True)
+        return m is not None and not m.partial, m is not None
 
 
 @dataclass
 class Automaton:
-    """Instructions: ("tok", word) consumes that word; ("var", pattern) consumes words whose joined text the pattern
+    """Instructions: ("tok", word) consumes that word; ("var", region) consumes any number of words that the region
     accepts; ("split", a, b) goes on at both; ("jump", a); ("accept",)."""
 
     name: str
@@ -59,11 +104,12 @@ class Automaton:
                 out.add(op[1])
         return out
 
-    def longest(self, words: list[str], at: int) -> int | None:
+    def longest(self, words: list[str], at: int, upto: list[int] | None = None) -> int | None:
         """End of the longest accepted run of words from `at` on."""
+        upto = lengths(words) if upto is None else upto
         best = None
         # a thread is (instruction, first word of the region it is in or -1)
-        threads = self._enter([(p, -1) for p in self.closure([0])], words, at)
+        threads = self._enter([(p, -1) for p in self.closure([0])], words, upto, at)
         i = at
         while threads:
             if any(self.code[p][0] == "accept" for p, _ in threads):
@@ -78,32 +124,36 @@ class Automaton:
                     if op[1] == w:
                         nxt += [(q, -1) for q in self.closure([p + 1])]
                 elif op[0] == "var":
-                    since = i if since < 0 else since
-                    if i + 1 - since <= op[2]:
-                        nxt.append((p, since))
+                    nxt.append((p, i if since < 0 else since))
             i += 1
-            threads = self._enter(nxt, words, i)
+            threads = self._enter(nxt, words, upto, i)
         return best
 
-    def _enter(self, threads: list[tuple[int, int]], words: list[str], i: int) -> list[tuple[int, int]]:
-        """Adds what follows a region that may end before word i."""
+    def _enter(self, threads: list[tuple[int, int]], words: list[str], upto: list[int], i: int) -> list[tuple[int, int]]:
+        """Adds what follows a region that may end before word i; regions that can't go on are left out."""
         seen = dict.fromkeys(threads)
-        todo = list(seen)
+        todo, over = list(seen), []
         while todo:
             p, since = todo.pop()
             op = self.code[p]
-            if op[0] == "var" and op[1].fullmatch(" ".join(words[since:i]) if since >= 0 else ""):
+            if op[0] != "var":
+                continue
+            done, more = op[1].takes(words, upto, i if since < 0 else since, i)
+            if not more and since >= 0:
+                over.append((p, since))
+            if done:
                 for t in ((q, -1) for q in self.closure([p + 1])):
                     if t not in seen:
                         seen[t] = None
                         todo.append(t)
+        for t in over:
+            del seen[t]
         return list(seen)
 
 
-def _words_at_most(pattern: str) -> int:
-    """Words that a region can have: no more than its longest match has signs, if it says so, and no more than 80."""
-    m = re.search(r"\.\{\d*,(\d+)\}", pattern)
-    return min(80, int(m.group(1))) if m else 8
+def lengths(words: list[str]) -> list[int]:
+    """Signs of all words before each, and of all of them."""
+    return [0, *accumulate(map(len, words))]
 
 
 def compile_template(name: str, kind: str, template: str) -> Automaton:
@@ -131,7 +181,7 @@ def compile_template(name: str, kind: str, template: str) -> Automaton:
             p = opened.pop()
             a.code[p] = ("split", p + 1, len(a.code))
         else:
-            a.code.append(("var", re.compile(m.group(4), re.I | re.S), _words_at_most(m.group(4))))
+            a.code.append(("var", Region(m.group(4))))
     if opened:
         raise ValueError(f"{name}: an optional region doesn't end")
     words(template[at:])
@@ -158,12 +208,14 @@ class Scanner:
                 self.by_head.setdefault(h, []).append(k)
         spellings = {a.anchor for a in self.automata}
         spellings |= {old for old, new in _SAME.items() if new in spellings}
+        spellings |= {first for (first, _), new in _PAIRS.items() if new in spellings}
         self.hint = "(?i)" + "|".join(sorted(map(re.escape, spellings)))
 
     def scan(self, text: str) -> list[tuple[int, int, int]]:
         """(automaton, start, end): longest matches of each automaton, from left to right, not overlapping one another."""
         toks = tokens(text)
         words = [t[0] for t in toks]
+        upto_sign = lengths(words)
         have = set(words)
         able = {k for k, a in enumerate(self.automata) if a.anchor in have}
         upto = dict.fromkeys(able, 0)
@@ -173,7 +225,7 @@ class Scanner:
         for i, w in enumerate(words):
             for k in (*self.by_head.get(w, ()), *self.free):
                 if k in able and i >= upto[k]:
-                    end = self.automata[k].longest(words, i)
+                    end = self.automata[k].longest(words, i, upto_sign)
                     if end is not None and end > i:
                         upto[k] = end
                         out.append((k, toks[i][1], toks[end - 1][2]))
@@ -190,11 +242,16 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
     without others between, whatever the case, signs and spacing; optional
     regions may be missing, replaceable ones hold what their expression accepts.
 
+    kind: "text" (a license's whole wording), "header" (the notice that it asks for
+    in files), "notice" (a sentence that names it) or "tag".
+
     Null and empty texts have no rows; null ids stay null; repeated rows each
     give theirs.  Of wordings that one template accepts from one place the
     longest is reported, and a template's matches don't overlap; different
-    templates each report.  Whole texts are scanned.  Empty tables give no rows;
-    other columns are ignored.
+    templates each report, but for what lies within a whole wording: it is part of
+    that one.  Regions may be as long as their expression allows.  Whole texts are
+    scanned.  Empty tables give no rows; other columns are ignored.  Ids are cast to
+    long.
     """
     scanner = Scanner(templates)
     sent = docs.sparkSession.sparkContext.broadcast(scanner)

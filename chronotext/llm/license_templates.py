@@ -5,7 +5,9 @@
 replaced by any that the expression accepts.  Everything else is mandatory.
 """
 
-ANY = '<<var;name="any";original="";match=".{0,400}">>'
+from chronotext.llm.license_texts import TEXTS
+
+ANY = '<<var;name="any";original="";match=".{0,5000}">>'
 COPYRIGHT = f"<<beginOptional>>Copyright (c) {ANY}<<endOptional>><<beginOptional>>All rights reserved.<<endOptional>>"
 VERSION = lambda original, match: f'<<var;name="version";original="{original}";match="{match}">>'
 HOLDER = '<<var;name="holder";original="the copyright holders and contributors";match=".{1,120}">>'
@@ -64,19 +66,48 @@ Altered source versions must be plainly marked as such, and must not be misrepre
 <<beginOptional>>3.<<endOptional>> This notice may not be removed or altered from any source distribution."""),
     ("Unlicense", "text", """This is free and unencumbered software released into the public domain. Anyone is free to
 copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled
-binary, for any purpose, commercial or non-commercial, and by any means."""),
-    ("Apache-2.0", "text", f"""<<beginOptional>>Copyright {ANY}<<endOptional>>Licensed under the Apache License, Version
+binary, for any purpose, commercial or non-commercial, and by any means.
+<<beginOptional>>In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all
+copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large
+and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in
+perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS",
+WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR
+OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+<<beginOptional>>For more information, please refer to <http://unlicense.org/><<endOptional>><<endOptional>>"""),
+    ("0BSD", "text", f"""{COPYRIGHT}Permission to use, copy, modify, and/or distribute this software for any purpose with or
+without fee is hereby granted. THE SOFTWARE IS PROVIDED "AS IS" AND <<var;name="author";original="THE AUTHOR";match=".{{1,80}}">>
+DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN
+NO EVENT SHALL <<var;name="author";original="THE AUTHOR";match=".{{1,80}}">> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+SOFTWARE."""),
+    ("BSL-1.0", "text", """<<beginOptional>>Boost Software License - Version 1.0 - August 17th, 2003<<endOptional>> Permission is hereby
+granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation
+covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and
+to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all
+subject to the following: The copyright notices in the Software and this entire statement, including the above license
+grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in
+part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of
+machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT
+WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE
+SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    *((name, "text", text) for name, text in TEXTS.items()),
+    ("Apache-2.0", "header", f"""<<beginOptional>>Copyright {ANY}<<endOptional>>Licensed under the Apache License, Version
 2.0 (the "License"); you may not use <<var;name="what";original="this file";match="this file|this work|these files">>
 except in compliance with the License. You may obtain a copy of the License at
-<<beginOptional>>http<<beginOptional>>s<<endOptional>>://www.apache.org/licenses/LICENSE-2.0<<endOptional>> Unless required by
+<<beginOptional>>http://www.apache.org/licenses/LICENSE-2.0<<endOptional>> Unless required by
 applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
 WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
 governing permissions and limitations under the License."""),
-    ("MPL-2.0", "text", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy
-of the MPL was not distributed with this file, You can obtain one at http<<beginOptional>>s<<endOptional>>://mozilla.org/MPL/2.0/."""),
-    ("GPL", "text", _GNU("General Public License", "2")),
-    ("LGPL", "text", _GNU("<<beginOptional>>Lesser<<endOptional>><<beginOptional>>Library<<endOptional>> General Public License", "2.1")),
-    ("AGPL", "text", _GNU("Affero General Public License", "3")),
+    ("MPL-2.0", "header", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy
+of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
+    ("GPL", "header", _GNU("General Public License", "2")),
+    ("LGPL", "header", _GNU("<<beginOptional>>Lesser<<endOptional>><<beginOptional>>Library<<endOptional>> General Public License", "2.1")),
+    ("AGPL", "header", _GNU("Affero General Public License", "3")),
     ("Apache", "notice", f"""<<beginOptional>>This work is<<endOptional>><<beginOptional>>Released<<endOptional>><<beginOptional>>Licensed<<endOptional>> under
 the <<beginOptional>>terms of the<<endOptional>> Apache License<<beginOptional>>, Version {VERSION("2.0", "[0-9.]+")}<<endOptional>>."""),
     ("MIT", "notice", """<<beginOptional>>This work is<<endOptional>><<beginOptional>>Released<<endOptional>><<beginOptional>>Licensed<<endOptional>> under

@@ -70,8 +70,8 @@ def test_one_wrong_mandatory_word_is_no_license(scanner):
         for i, op in enumerate(must.code):
             if op[0] == "split":
                 optional |= set(range(op[1], op[2]))
-        if any(op[0] == "var" and op[2] > 8 for op in must.code):
-            continue  # a wide region could take the wrong word in
+        if any(op[0] == "var" and op[1].any for op in must.code):
+            continue  # such a region could take the wrong word in
         for i in rng.sample([i for i in plain if i not in optional], 2):
             words = [op[1] for op in must.code if op[0] == "tok"]
             spoiled = list(words)
@@ -104,6 +104,65 @@ def test_same_spans_as_plain_expressions(scanner):
             assert got == want, (text, expression.pattern)
 
 
+def test_whole_wordings_are_spans_of_plain_expressions(scanner):
+    """Templates of whole wordings accept the longest run that their expression accepts, from each place."""
+    rng = random.Random(5)
+    for k, (name, kind, template) in enumerate(TEMPLATES):
+        if kind != "text" or len(template) > 8000:
+            continue
+        expression = re.compile(as_regex(template), re.I)
+        for spoil in (False, False, True):
+            words = [t[0] for t in tokens("copyright and so on " + dressed(rng, variant(rng, template)) + " the end")]
+            if spoil:
+                del words[rng.randrange(len(words) // 2, len(words) - 8)]
+            line = "".join(w + " " for w in words)
+            starts = [0]
+            for w in words:
+                starts.append(starts[-1] + len(w) + 1)
+            for i in range(0, 12):
+                m = None
+                for j in range(len(words), i, -1):
+                    if m := expression.fullmatch(line, starts[i], starts[j]):
+                        break
+                assert scanner.automata[k].longest(words, i) == (j if m else None), (name, i, spoil)
+
+
+def test_full_texts_are_found_whole(scanner):
+    rng = random.Random(6)
+    for k, (name, kind, template) in enumerate(TEMPLATES):
+        if kind == "text":
+            text = "Some words before it.\n" + dressed(rng, _MARK.sub(lambda m: f" {m.group(3) or str()} ", template)) + "\nother words"
+            found = [(scanner.automata[j].name, a, b) for j, a, b in scanner.scan(text)]
+            assert (name, 22) in {(n, a) for n, a, _ in found} and max(b for _, _, b in found) >= len(text) - 40, (name, found)
+
+
+@pytest.mark.parametrize(
+    "match, n, fits",
+    [(".+", 9, True), (".+", 500, True), (".+", 0, False), (".*", 0, True), (".{0,2000}", 81, True), (".{0,2000}", 401, False), ("[0-9. ]+", 12, True), ("(?:word ?)*", 30, True), (".{0,20}", 4, True), (".{0,20}", 5, False)],
+)
+def test_regions_are_as_long_as_their_expression_allows(match, n, fits):
+    a = compile_template("x", "text", f'begin here <<var;name="x";original="";match="{match}">> license ends')
+    words = "begin here".split() + (["12"] if match[0] == "[" else ["word"]) * n + "license ends".split()
+    assert a.longest(words, 0) == (len(words) if fits else None)
+
+
+def test_copyright_of_many_holders(scanner):
+    mit = next(t for n, k, t in TEMPLATES if (n, k) == ("MIT", "text"))
+    rng = random.Random(7)
+    body = variant(rng, mit[mit.index("Permission is hereby") :])
+    text = "Copyright (c) " + ", ".join(f"20{k:02d} Holder Number{k} of Somewhere" for k in range(30)) + "\n" + body
+    assert ("MIT", 0) in {(scanner.automata[k].name, a) for k, a, _ in scanner.scan(text)}
+
+
+def test_spellings_that_count_as_one(scanner):
+    assert [t[0] for t in tokens("Non-commercial noncommercial NON COMMERCIAL")] == ["noncommercial"] * 3
+    free = next(t for n, k, t in TEMPLATES if n == "Unlicense")
+    text = variant(random.Random(1), free).replace("non-commercial", "noncommercial")
+    assert any(scanner.automata[k].name == "Unlicense" for k, *_ in scanner.scan(text))
+    notice = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    assert [scanner.automata[k].name for k, *_ in scanner.scan(notice)] == ["MPL-2.0"]
+
+
 def test_markup_errors():
     for bad in ("<<beginOptional>>a", "a<<endOptional>>", "<<beginOptional>>a<<endOptional>>"):
         with pytest.raises(ValueError):
