@@ -239,8 +239,8 @@ def find(texts: pa.Array, index: Index) -> list[tuple[int, int, int, int, int]]:
             own = [h for h in hits if h[0] == d]
             raw = data[off[d] : off[d + 1]].tobytes()
             a = char_positions(raw, np.array([h[2] for h in own]))
-            b = char_positions(raw, np.array([h[3] - 1 for h in own]))
-            out += [(d, h[1], int(x), int(y) + 1, h[4]) for h, x, y in zip(own, a, b)]
+            b = char_positions(raw, np.array([h[3] for h in own]))
+            out += [(d, h[1], int(x), int(y), h[4]) for h, x, y in zip(own, a, b)]
     return out
 
 

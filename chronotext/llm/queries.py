@@ -13,6 +13,7 @@ from chronotext.llm.decontaminate import index_of, leaks
 from chronotext.llm.embed_dedup import near_duplicate_vectors
 from chronotext.llm.license_scan import licenses
 from chronotext.llm.minhash_dedup import near_duplicate_groups
+from chronotext.llm.oracle import SQL
 from chronotext.llm.secret_scan import secrets
 from chronotext.llm.suffix_dedup import repeated_passages
 from chronotext.llm.token_count import token_counts
@@ -59,6 +60,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(table(spark, sf_dir, "documents"), language_id.model_for(spark, sf_dir))
 
 
+__all__ = ["QUERIES", "SQL"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_token_counts": op2_token_counts,
@@ -72,4 +75,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-SQL: dict[str, str] = {}
