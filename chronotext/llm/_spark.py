@@ -35,13 +35,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: compressed, and read again column by column."""
+def written(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: compressed, and read again column by column.
+
+    scratch gets the table's path, for removed() when nothing reads it any more.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, scratch: list[str]) -> None:
+    """Deletes tables of written(); what was made from them must be written by then."""
+    conf = spark._jsc.hadoopConfiguration()
+    while scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(scratch.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, sf_dir, name, spread=name == "documents")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronotext.llm._kernels import U64, Words, gram_starts, mix, slices, word_grams
-from chronotext.llm._spark import cut, written
+from chronotext.llm._spark import cut, removed, written
 from chronotext.llm.components import connected_components
 
 N_HASHES = 128
@@ -164,7 +164,7 @@ def _in_blocks(least: int):
     return run
 
 
-def _links(sigs: DataFrame, least: int, n: int) -> DataFrame:
+def _links(sigs: DataFrame, least: int, n: int, scratch: list[str] | None = None) -> DataFrame:
     """Verified links (u, v) that connect all that links within buckets connect.
 
     Every member of a bucket is compared with its least id; those that aren't like
@@ -176,25 +176,25 @@ def _links(sigs: DataFrame, least: int, n: int) -> DataFrame:
     """
     keyed = sigs.select("id", F.explode("keys").alias("key"))
     # sums by key are partial before the exchange; the join splits hot keys
-    centers = written(keyed.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("far")).where("center < far").select("key", "center"), "minhash-centers")
-    shared = written(keyed.join(centers, "key").select("key", "id", "center"), "minhash-buckets")
+    centers = written(keyed.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("far")).where("center < far").select("key", "center"), "minhash-centers", scratch)
+    shared = written(keyed.join(centers, "key").select("key", "id", "center"), "minhash-buckets", scratch)
     one_each = sigs.select("id", "sig")
     star = shared.where("id <> center").select(F.col("center").alias("u"), F.col("id").alias("v")).distinct()
-    first = written(_verified(star, one_each), "minhash-star")
+    first = written(_verified(star, one_each), "minhash-star", scratch)
     links = first.where(F.col("same") >= least).select("u", "v")
     failed = first.where(F.col("same") < least)
     if failed.isEmpty():
         return links
     failed = failed.select(F.col("u").alias("center"), F.col("v").alias("id"), F.col("same").alias("same1"))
-    loose = written(shared.join(failed, ["center", "id"]).select("key", "id", "same1"), "minhash-loose")
+    loose = written(shared.join(failed, ["center", "id"]).select("key", "id", "same1"), "minhash-loose", scratch)
     again = loose.groupBy("key").agg(F.min("id").alias("center2"), F.max("same1").alias("top1"))
     second = loose.join(again, "key").select("key", "id", "same1", "center2")
     pairs = second.where("id <> center2").select(F.col("center2").alias("u"), F.col("id").alias("v")).distinct()
-    found = written(_verified(pairs, one_each), "minhash-star")
+    found = written(_verified(pairs, one_each), "minhash-star", scratch)
     links = links.union(found.where(F.col("same") >= least).select("u", "v"))
     found = found.select(F.col("u").alias("center2"), F.col("v").alias("id"), F.col("same").alias("same2"))
     second = second.join(found, ["center2", "id"], "left").withColumn("same2", F.coalesce("same2", F.lit(n)))
-    second = written(second.select("key", "id", "same1", "center2", "same2"), "minhash-loose")
+    second = written(second.select("key", "id", "same1", "center2", "same2"), "minhash-loose", scratch)
     # the first cluster's members of those buckets, with what the distances say of both sides
     own = first.where(F.col("same") >= least).select(F.col("u").alias("center"), F.col("v").alias("id"), F.col("same").alias("same1"))
     near = shared.join(again, "key").join(own, ["center", "id"], "left").where("same1 is not null or id = center")
@@ -245,9 +245,11 @@ def near_duplicate_groups(
     read, however long.  An empty table gives no rows.  Other columns are ignored.
     Ids are cast to long.
     """
+    scratch: list[str] = []
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    sigs = written(base.mapInArrow(_signer(n_hashes, bands, shingle), "id long, sig binary, keys array<long>"), "minhash")
-    links = written(_links(sigs, math.ceil(threshold * n_hashes - 1e-9), n_hashes).where("u <> v").distinct(), "minhash-links")
+    sigs = written(base.mapInArrow(_signer(n_hashes, bands, shingle), "id long, sig binary, keys array<long>"), "minhash", scratch)
+    links = written(_links(sigs, math.ceil(threshold * n_hashes - 1e-9), n_hashes, scratch).where("u <> v").distinct(), "minhash-links")
+    removed(docs.sparkSession, scratch)
     roots = cut(connected_components(links))
     degree = links.select(F.col("u").alias("doc_id")).union(links.select("v")).groupBy("doc_id").agg(F.count("*").alias("n_links"))
     members = roots.select(F.col("u").alias("doc_id"), F.col("root").alias("group_id"))

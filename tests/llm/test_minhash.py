@@ -126,3 +126,27 @@ def test_number_of_links(spark):
     text = " ".join(f"w{k}" for k in range(40))
     docs = spark.createDataFrame([(1, text), (2, text), (3, text), (4, "other words here and there")], "doc_id long, text string")
     assert {(r.doc_id, r.group_id, r.n_links) for r in near_duplicate_groups(docs).collect()} == {(1, 1, 2), (2, 1, 1), (3, 1, 1)}
+
+
+def test_components_beyond_few_edges(spark, monkeypatch):
+    """Stars by sums and joins give the same forests as windows."""
+    from chronotext.llm import components
+
+    rng = np.random.default_rng(8)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (150, 2))] + [(0, k) for k in range(300, 500)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    want = {r.u: r.root for r in connected_components(df).collect()}
+    monkeypatch.setattr(components, "SMALL", 10)
+    assert {r.u: r.root for r in connected_components(df).collect()} == want
+
+
+def test_intermediate_tables_are_deleted(spark):
+    import os
+
+    from chronotext.llm._spark import shared_dir
+
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x y z")], "doc_id long, text string")
+    where = shared_dir(spark).removeprefix("file:")
+    old = {x for x in os.listdir(where) if x.startswith("minhash")}
+    assert near_duplicate_groups(docs).count() == 2
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(where)) - old if x.startswith("minhash")} == {"minhash-links"}
