@@ -90,12 +90,18 @@ def best_score(emission: Column | str, ids: Sequence[int], blank: int = 0) -> Co
 # --- the path ---------------------------------------------------------------------------------------------------------------
 
 
-def viterbi(p: np.ndarray, ids: Sequence[int], blank: int = 0) -> tuple[np.ndarray, np.ndarray] | None:
+#: cells of moves (frames x states) that are kept at once; beyond that they are computed anew from kept frames
+CELLS = 1 << 26
+
+
+def viterbi(p: np.ndarray, ids: Sequence[int], blank: int = 0, cells: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
     """Label and score of each frame on the best path, or None if there is none.
 
     States are blank, first id, blank, ...; of equal scores staying wins over
     advancing over skipping a blank, and at the end the last blank wins.  One
-    array operation over all states a frame; one byte a cell is kept.
+    array operation over all states a frame.  A move is one byte; where they
+    would be more than `cells`, only every square root of frames is kept and the
+    moves between are made again on the way back.
     """
     ids = np.asarray(ids, dtype=np.int64)
     ext = np.full(2 * len(ids) + 1, blank, dtype=np.int64)
@@ -105,25 +111,47 @@ def viterbi(p: np.ndarray, ids: Sequence[int], blank: int = 0) -> tuple[np.ndarr
         return None
     may_skip = np.zeros(n, bool)
     may_skip[2:] = (ext[2:] != blank) & (ext[2:] != ext[:-2])
-    a = np.full(n, -np.inf)
-    a[: min(2, n)] = p[0, ext[: min(2, n)]]
-    move = np.zeros((t, n), np.uint8)
-    for k in range(1, t):
-        best, how = a.copy(), move[k]
-        one = np.r_[-np.inf, a[:-1]]
+    low = np.full(2, -np.inf)
+
+    def advanced(a: np.ndarray, k: int, how: np.ndarray) -> np.ndarray:
+        """Scores after frame k; how gets the moves into it."""
+        before = np.concatenate([low, a])
+        best = a.copy()
+        how[:] = 0
+        one = before[1 : n + 1]
         take = one > best
         best[take], how[take] = one[take], 1
-        two = np.where(may_skip, np.r_[-np.inf, -np.inf, a[:-2]][:n], -np.inf)
-        take = two > best
+        two = before[:n]
+        take = may_skip & (two > best)
         best[take], how[take] = two[take], 2
-        a = best + p[k, ext]
+        return best + p[k, ext]
+
+    step = t if t * n <= (CELLS if cells is None else cells) else max(1, int(np.sqrt(t)))
+    a = np.full(n, -np.inf)
+    a[: min(2, n)] = p[0, ext[: min(2, n)]]
+    kept = [a]
+    move = np.zeros((min(step, t), n), np.uint8)
+    for k in range(1, t):
+        a = advanced(a, k, move[k % step])
+        if k % step == 0:
+            kept.append(a)
     s = n - 1 if n == 1 or a[n - 1] >= a[n - 2] else n - 2
     if a[s] == -np.inf:
         return None
     states = np.empty(t, np.int64)
-    for k in range(t - 1, -1, -1):
-        states[k] = s
-        s -= move[k, s]
+    for part in range(len(kept) - 1, -1, -1):
+        lo, hi = part * step, min((part + 1) * step, t)
+        for k in range(hi - 1, lo - 1, -1):
+            states[k] = s
+            if k > lo:
+                s -= int(move[k - lo, s])
+        if part:  # the moves of the part before, and the one from it into this part's first frame
+            a = kept[part - 1]
+            for k in range(lo - step + 1, lo):
+                a = advanced(a, k, move[k - lo + step])
+            into = np.zeros(n, np.uint8)
+            advanced(a, lo, into)
+            s -= int(into[s])
     labels = ext[states]
     return labels, p[np.arange(t), labels]
 
@@ -163,6 +191,15 @@ def word_spans(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
     return spans.groupBy(*keys, "tok_pos").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.sum(F.col("score") * size) / F.sum(size)).alias("score"))
 
 
+def matrices(frames: pa.ListArray) -> Iterator[np.ndarray]:
+    """Each row's frames as a matrix, from the column's flat values; none for a null or empty row."""
+    outer, gone = frames.offsets.to_numpy(), frames.is_null().to_numpy(zero_copy_only=False)
+    inner = frames.values.offsets.to_numpy()
+    flat = frames.values.values.to_numpy(zero_copy_only=False)
+    for a, b, none in zip(outer.tolist(), outer[1:].tolist(), gone.tolist()):
+        yield np.zeros((0, 1)) if none or a == b else flat[inner[a] : inner[b]].astype(np.float64).reshape(b - a, -1)
+
+
 def align_words(
     utterances: DataFrame,
     keys: Sequence[str],
@@ -190,8 +227,7 @@ def align_words(
     unk = table.get("<unk>", max(table.values())) if unknown is None else unknown
     fold = {"lower": str.lower, "upper": str.upper, "mixed": str}[case]
 
-    def one(words: list[str], emission) -> list[tuple]:
-        p = np.array(emission, dtype=np.float64).reshape(len(emission), -1) if len(emission) else np.zeros((0, 1))
+    def one(words: list[str], p: np.ndarray) -> list[tuple]:
         star = p.shape[1]
         p = np.concatenate([p, np.zeros((len(p), 1))], axis=1)
         if objective == "sum_log":
@@ -218,7 +254,7 @@ def align_words(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, *r) for i, (w, e) in enumerate(zip(batch.column("__words").to_pylist(), batch.column("__emission").to_pylist())) for r in one(w or [], e or [])]
+            rows = [(i, *r) for i, (w, p) in enumerate(zip(batch.column("__words").to_pylist(), matrices(batch.column("__emission")))) for r in one(w or [], p)]
             cols = list(zip(*rows)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c).take(pa.array(cols[0], pa.int64())) for c in names), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.float64()), pa.array(cols[5], pa.bool_())],

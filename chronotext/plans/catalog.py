@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from chronotext.functions import frames as fr
 from chronotext.functions import text as tx
 from chronotext.operators import ctc, intervals, match, segments, tokens
-from chronotext.plans import pipelines
+from chronotext.plans import pipelines, sql
 from chronotext import schema
 from chronotext.sources.audio import failed
 from chronotext.sources.tables import read_table
@@ -72,8 +72,8 @@ sent AS (SELECT doc_id, seg_pos, (sum(length(x)) OVER (PARTITION BY doc_id ORDER
 _TIMED = f"""
 timed AS (SELECT *, d.n_chars / {RATE} / count(*) OVER (PARTITION BY doc_id) AS step FROM (SELECT e.*, n_chars FROM ext e JOIN documents USING (doc_id)) d),
 times AS (SELECT doc_id, tok_pos, start_char, ext, substr(doc_text, start_char + 1, ext - start_char) AS full_text,
-          0.0 + tok_pos * step AS t0, 0.0 + (tok_pos + 1) * step AS t1 FROM timed)"""
-_SEGMENTS = f"""WITH {_TOKENS}, {_EXTENDED}, {_SENTENCES}, {_TIMED},
+          0.0 + tok_pos * step AS t0, 0.0 + (tok_pos + 1) * step AS t1, 0.0::DOUBLE AS score FROM timed)"""
+_PREFIX = """
 st AS (SELECT s.doc_id, seg_pos, min(tok_pos) AS st FROM sent s JOIN times t ON s.doc_id = t.doc_id AND t.start_char <= s.a AND s.a < t.ext GROUP BY ALL),
 en AS (SELECT s.doc_id, seg_pos, min(tok_pos) AS en FROM sent s JOIN times t ON s.doc_id = t.doc_id AND t.start_char < s.b AND s.b <= t.ext GROUP BY ALL),
 seg AS (SELECT s.doc_id, s.seg_pos, st, en, least(st, en) AS low, greatest(st, en) AS high FROM sent s LEFT JOIN st USING (doc_id, seg_pos) LEFT JOIN en USING (doc_id, seg_pos)),
@@ -82,8 +82,9 @@ ok AS (SELECT *, st IS NOT NULL AND en IS NOT NULL AND low > coalesce(lag(high)
 good AS (SELECT * FROM (SELECT *, bool_and(fine) OVER (PARTITION BY doc_id ORDER BY seg_pos) AS valid FROM ok) x WHERE valid),
 res AS (SELECT g.doc_id, g.seg_pos, round(min(CASE WHEN tok_pos = st THEN t0 END), 5) AS start, round(max(CASE WHEN tok_pos = en THEN t1 END), 5) AS "end",
         round(max(CASE WHEN tok_pos = en THEN t1 END) - min(CASE WHEN tok_pos = st THEN t0 END), 5) AS duration,
-        string_agg(CASE WHEN tok_pos BETWEEN st AND en THEN full_text END, '' ORDER BY tok_pos) AS text, 0.0::DOUBLE AS score, count(*)::INTEGER AS n_words
+        string_agg(CASE WHEN tok_pos BETWEEN st AND en THEN full_text END, '' ORDER BY tok_pos) AS text, round(avg(t.score), 5) AS score, count(*)::INTEGER AS n_words
         FROM good g JOIN times t ON g.doc_id = t.doc_id AND t.tok_pos > g.before AND t.tok_pos <= g.high GROUP BY ALL)"""
+_SEGMENTS = f"""WITH {_TOKENS}, {_EXTENDED}, {_SENTENCES}, {_TIMED}, {_PREFIX}"""
 _REGIONS = f"""
 x AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, CASE WHEN value > {ONSET} THEN 1 WHEN value < {OFFSET} THEN 0 END AS c FROM events),
 y AS (SELECT *, coalesce(last_value(c IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS s FROM x),
@@ -162,7 +163,7 @@ def sentence_spans(spark: SparkSession, d: str) -> DataFrame:
     return tx.sentence_spans(_t(spark, d, "documents"), ["doc_id"])
 
 
-@query()
+@query(sql.SPAN_REWRITE)
 def span_rewrite(spark: SparkSession, d: str) -> DataFrame:
     """General span map: remarks, lone signs, symbols and abbreviations expanded to several words."""
     rules = [*tx.expansions({"%": " procent ", "&": " och ", "$": " dollar ", "*": ""}), *tx.TRANSCRIPT_RULES]
@@ -178,10 +179,9 @@ def vocab_case(spark: SparkSession, d: str) -> DataFrame:
     return tx.vocabulary_case(chars)
 
 
-@query("SELECT doc_id, upper(replace(text, chr(10), ' ')) AS folded FROM documents WHERE text NOT LIKE '%ß%'")
+@query("SELECT doc_id, upper(replace(replace(text, chr(10), ' '), 'ß', 'SS')) AS folded FROM documents")
 def fold_case(spark: SparkSession, d: str) -> DataFrame:
-    docs = _t(spark, d, "documents").where(~F.col("text").contains("ß"))
-    return docs.select("doc_id", tx.fold_case(tx.no_leading_space("text"), "upper").alias("folded"))
+    return _t(spark, d, "documents").select("doc_id", tx.fold_case(tx.no_leading_space("text"), "upper").alias("folded"))
 
 
 # --- segments ---------------------------------------------------------------------------------------------------------------
@@ -266,7 +266,10 @@ def hysteresis_regions(spark: SparkSession, d: str) -> DataFrame:
     return intervals.hysteresis_regions(_scores(spark, d), ["user_id"], onset=ONSET, offset=OFFSET)
 
 
-@query()
+_USERS = "SELECT user_id AS k, epoch_us(ts) / 1e6 AS t, value AS y FROM events"
+
+
+@query(f'WITH RECURSIVE {sql.mincut(_USERS, ONSET, OFFSET, SIZE)} SELECT k AS user_id, region, a AS start, b AS "end" FROM reg')
 def mincut_regions(spark: SparkSession, d: str) -> DataFrame:
     return intervals.mincut_regions(_scores(spark, d), ["user_id"], onset=ONSET, offset=OFFSET, max_duration=SIZE)
 
@@ -302,7 +305,11 @@ def chunk_pack_b(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d, "b").withColumn("n_segments", F.size("segments")).drop("segments")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {sql.mincut(_USERS, ONSET, OFFSET, SIZE)}, {sql.packed('0.0::DOUBLE', SIZE)}
+SELECT k AS user_id, '0' AS speech_id, arg_min(a, chunk_pos) AS start, arg_max(b, chunk_pos) AS "end", arg_max(b, chunk_pos) - arg_min(a, chunk_pos) AS duration, count(*) AS n_chunks,
+       sum(trunc((b - a) * 16000)::BIGINT)::BIGINT AS frames FROM chunks GROUP BY k"""
+)
 def vad_files(spark: SparkSession, d: str) -> DataFrame:
     """Whole files without speeches: min-cut regions packed into chunks, one speech around them."""
     speeches, chunks = pipelines.vad(_scores(spark, d), chunk_size=SIZE, onset=ONSET, offset=OFFSET, file_key="user_id")
@@ -310,7 +317,15 @@ def vad_files(spark: SparkSession, d: str) -> DataFrame:
     return speeches.join(n, "user_id").select("user_id", "speech_id", "start", "end", "duration", "n_chunks", "frames")
 
 
-@query()
+_HALVES = """SELECT user_id::VARCHAR || '/0' AS k, t, y FROM (SELECT *, epoch_us(ts) / 1e6 AS t, value AS y FROM events) e JOIN mid USING (user_id) WHERE t >= a AND t < m
+UNION ALL SELECT user_id::VARCHAR || '/1', t, y FROM (SELECT *, epoch_us(ts) / 1e6 AS t, value AS y FROM events) e JOIN mid USING (user_id) WHERE t >= m"""
+
+
+@query(
+    f"""WITH RECURSIVE mid AS (SELECT user_id, min(epoch_us(ts) / 1e6) AS a, (min(epoch_us(ts) / 1e6) + max(epoch_us(ts) / 1e6)) / 2 AS m FROM events GROUP BY user_id),
+{sql.mincut(_HALVES, ONSET, OFFSET, SIZE)}, {sql.packed('0.0::DOUBLE', SIZE)}
+SELECT split_part(k, '/', 1)::BIGINT AS user_id, split_part(k, '/', 2) AS speech_id, chunk_pos, a AS start, b AS "end", trunc((b - a) * 16000)::BIGINT AS audio_frames, n_segments FROM chunks"""
+)
 def vad_speeches(spark: SparkSession, d: str) -> DataFrame:
     """Activity within given speeches: halves of each user's span, the second without a duration."""
     s = _scores(spark, d)
@@ -380,11 +395,21 @@ def ctc_score(spark: SparkSession, d: str) -> DataFrame:
     return _emission(spark, d).select("label", F.size("emission").alias("frames"), F.round(ctc.best_score("emission", TARGET), 6).alias("score"))
 
 
-@query()
+_WORDS = "it is a far far better thing"
+
+
+@query(
+    f"""WITH RECURSIVE le AS (SELECT label, list(list_append(embedding::DOUBLE[], 0.0) ORDER BY vec_id) AS em FROM embeddings GROUP BY label),
+wo AS (SELECT string_split('{_WORDS}', ' ') AS w),
+vit AS (SELECT label AS k, em, {sql.states(sql.joined(f"list_concat([[64]], list_transform(w, lambda x: {sql.letters('x')}), [[64]])"))} AS ext,
+        list_concat([1], list_transform(w, lambda x: length(x)), [1]) AS sizes FROM le, wo), {sql.VITERBI}
+SELECT k AS label, word::INTEGER AS tok_pos, first::INTEGER AS start_frame, last::INTEGER AS end_frame, round(score, 6) AS score, true AS aligned FROM placed"""
+)
 def ctc_path_words(spark: SparkSession, d: str) -> DataFrame:
     """Frames of the words of one text on the best path through each label's frames."""
-    words = F.split(F.lit("it is a far far better thing"), " ")
-    return ctc.align_words(_emission(spark, d).withColumn("words", words), ["label"], LETTERS, start_wildcard=True, end_wildcard=True)
+    words = F.split(F.lit(_WORDS), " ")
+    found = ctc.align_words(_emission(spark, d).withColumn("words", words), ["label"], LETTERS, start_wildcard=True, end_wildcard=True)
+    return found.withColumn("score", F.round("score", 6))
 
 
 def _aligned(spark: SparkSession, d: str, strategy: str) -> DataFrame:
@@ -403,12 +428,37 @@ def _aligned(spark: SparkSession, d: str, strategy: str) -> DataFrame:
     return out.withColumn("n_words", F.size("words")).drop("words")
 
 
-@query()
+def _align_sql(chunk: bool) -> str:
+    """Both branches: the path where the frames suffice, times spread evenly elsewhere."""
+    star = "" if chunk else "[[64]], "
+    named = lambda x: x.replace("documents", "units").replace("doc_id", "speech_id")
+    where = "0 AS chunk_pos, " if chunk else ""
+    return f"""WITH RECURSIVE lab AS (SELECT label, list(list_transform(embedding::DOUBLE[], lambda x: exp(x - list_max(embedding)::DOUBLE)) ORDER BY vec_id) AS em FROM embeddings GROUP BY label),
+lb AS (SELECT label, list_transform(em, lambda v: list_append(list_transform(v, lambda x: x / list_sum(v)), 0.0)) AS em, row_number() OVER (ORDER BY label) - 1 AS turn, count(*) OVER () AS turns FROM lab),
+bn AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id, text) - 1 AS rank FROM benchmark WHERE item_id IS NOT NULL),
+units AS (SELECT label::VARCHAR || '-' || item_id::VARCHAR AS speech_id, text, em, len(em) AS size FROM bn JOIN lb ON turn = rank % turns WHERE length(text) > 0),
+{named(_TOKENS)}, {named(_EXTENDED)}, {named(_SENTENCES)},
+wl AS (SELECT speech_id, list(normalized_token ORDER BY tok_pos) AS w FROM tok GROUP BY speech_id),
+tg AS (SELECT speech_id, em, size, w, {sql.joined(f"list_transform(w, lambda x: {sql.letters('x')})")} AS ids FROM wl JOIN units USING (speech_id)),
+fe AS (SELECT *, size >= len(ids) + len(list_filter(list_zip(ids[1:len(ids) - 1], ids[2:]), lambda p: p[1] = p[2])) + {0 if chunk else 2} AS fits FROM tg),
+vit AS (SELECT speech_id AS k, em, {sql.states(sql.joined(f"list_concat({star}list_transform(w, lambda x: {sql.letters('x')}))"))} AS ext,
+        list_concat({"[1], " if star else ""}list_transform(w, lambda x: length(x))) AS sizes FROM fe WHERE fits), {sql.VITERBI},
+rate AS (SELECT speech_id, size * 320 / {_output_logits_sql('(size * 320)')} AS fpl FROM units),
+sure AS (SELECT k AS speech_id, word - {0 if chunk else 1} AS tok_pos, first * fpl / 16000 + 2.0 AS t0, last * fpl / 16000 + 2.0 AS t1, score FROM placed JOIN rate ON k = speech_id),
+even AS (SELECT speech_id, tok_pos, 2.0 + tok_pos * step AS t0, 2.0 + (tok_pos + 1) * step AS t1, 0.0::DOUBLE AS score
+         FROM (SELECT tok.speech_id, tok_pos, (size * 0.02::DOUBLE + 2.0 - 2.0) / count(*) OVER (PARTITION BY tok.speech_id) AS step FROM tok JOIN fe ON fe.speech_id = tok.speech_id WHERE NOT fits) q),
+times AS (SELECT e.speech_id, e.tok_pos, start_char, ext, substr(doc_text, start_char + 1, ext - start_char) AS full_text, t0, t1, score
+          FROM ext e JOIN (SELECT * FROM sure UNION ALL SELECT * FROM even) x ON x.speech_id = e.speech_id AND x.tok_pos = e.tok_pos),
+{named(_PREFIX)}
+SELECT 'files/a.wav' AS audio_path, speech_id, {where}seg_pos, start, "end", duration, text, score, speech_id || '-' || {"'0-' || " if chunk else ""}seg_pos::VARCHAR AS id, n_words FROM res"""
+
+
+@query(_align_sql(False))
 def align_speech(spark: SparkSession, d: str) -> DataFrame:
     return _aligned(spark, d, "speech")
 
 
-@query()
+@query(_align_sql(True))
 def align_chunk(spark: SparkSession, d: str) -> DataFrame:
     return _aligned(spark, d, "chunk")
 
@@ -436,14 +486,15 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return match.candidate_pairs(items, docs, "item_id", "doc_id")
 
 
-@query(
-    r"""WITH b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM benchmark),
+_CANDIDATES = r"""WITH b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM benchmark),
 t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM documents),
 bg AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 3], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM b) x),
 tg AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM t) x),
-s AS (SELECT item_id, doc_id, count(*) AS shared FROM bg JOIN tg USING (g) GROUP BY ALL), n AS (SELECT item_id, count(*) AS k FROM bg GROUP BY ALL)
-SELECT item_id, doc_id, shared FROM s JOIN n USING (item_id) WHERE shared >= greatest(1.0, k * 0.25)"""
-)
+s AS (SELECT item_id, doc_id, count(*) AS shared FROM bg JOIN tg USING (g) GROUP BY ALL), n AS (SELECT item_id, count(*) AS k FROM bg GROUP BY ALL),
+cand AS (SELECT item_id, doc_id, shared FROM s JOIN n USING (item_id) WHERE shared >= greatest(1.0, k * 0.25))"""
+
+
+@query(f"{_CANDIDATES} SELECT * FROM cand")
 def fuzzy_candidates(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("item_id", "doc_id", "shared")
 
@@ -458,12 +509,27 @@ def _located(spark: SparkSession, d: str, max_length: int | None) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
-@query()
+def _located_sql(long: int | None) -> str:
+    """Needles that stand word for word in their haystack; edited ones are tested against brute force only."""
+    at = lambda piece: f"strpos(h, {piece}) - 1"
+    first, last = at("n"), f"{at('n')} + length(n) - 1"
+    if long:
+        split = f"length(n) > {2 * long}"
+        first = f"CASE WHEN {split} THEN {at(f'substr(n, 1, {long})')} ELSE {first} END"
+        last = f"CASE WHEN {split} THEN {at(f'right(n, {long})')} + {long} - 1 ELSE {last} END"
+    return f"""{_CANDIDATES},
+hay AS (SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') AS h, list_transform(regexp_extract_all(text, '\\S+'), lambda w: length(w)) AS ls FROM documents),
+pr AS (SELECT item_id, doc_id, h, ls, regexp_replace(b.text, '\\s+', '', 'g') AS n FROM cand JOIN benchmark b USING (item_id) JOIN hay USING (doc_id)),
+ps AS (SELECT item_id, doc_id, {first} AS x, {last} AS y, list_transform(range(1, len(ls) + 1), lambda i: list_sum(ls[1:i])) AS ends FROM pr WHERE contains(h, n))
+SELECT item_id, doc_id, len(list_filter(ends, lambda e: e <= x))::INTEGER AS start_index, len(list_filter(ends, lambda e: e <= y))::INTEGER AS end_index, 100.0::DOUBLE AS score FROM ps"""
+
+
+@query(_located_sql(None))
 def fuzzy_locate(spark: SparkSession, d: str) -> DataFrame:
     return _located(spark, d, None)
 
 
-@query()
+@query(_located_sql(60))
 def fuzzy_long(spark: SparkSession, d: str) -> DataFrame:
     return _located(spark, d, 60)
 

@@ -44,7 +44,9 @@ def emissions(slices: DataFrame, scorer: Scorer, keys: Sequence[str], samples_co
                 size = np.array([len(p) for p in found])
                 row = np.repeat(np.arange(len(found)), size)
                 frame = np.concatenate([np.arange(n) for n in size]) if len(size) else size
-                probs = pa.array([list(map(float, v)) for p in found for v in p], pa.list_(pa.float32()))
+                width = np.repeat([p.shape[1] if p.ndim > 1 else 1 for p in found], size) if len(size) else size
+                flat = np.concatenate([p.ravel() for p in found]) if len(found) else np.zeros(0, np.float32)
+                probs = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(width)].astype(np.int32)), pa.array(flat, pa.float32()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row)) for c in names), pa.array(frame.astype(np.int32)), probs], names=[*names, "frame", "probs"])
 
     schema = ", ".join([*(f"`{k}` {slim.schema[k].dataType.simpleString()}" for k in names), "frame int, probs array<float>"])

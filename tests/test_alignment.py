@@ -171,3 +171,31 @@ def test_frame_arithmetic(spark):
     assert a.select(fr.pad_to("x", 4)).first()[0] == [1, 2, 0, 0] and sum(a.select(fr.softmax("x")).first()[0]) == pytest.approx(1)
     with pytest.raises(Exception, match="more values"):
         a.select(fr.pad_exactly("x", 1)).collect()
+
+
+def test_path_with_few_kept_frames_is_the_same():
+    import numpy as np
+
+    from chronotext.operators.ctc import viterbi
+
+    rng = np.random.default_rng(11)
+    for t, n in [(1, 1), (7, 2), (40, 6), (400, 190), (90, 30)]:
+        p = np.round(rng.random((t, 9)), 1)  # ties on purpose
+        ids = rng.integers(1, 9, n)
+        whole = viterbi(p, ids)
+        kept = viterbi(p, ids, cells=1)
+        assert (whole is None) == (kept is None)
+        if whole is not None:
+            assert (whole[0] == kept[0]).all() and (whole[1] == kept[1]).all()
+
+
+def test_long_words_of_many_states(spark):
+    """More than 255 states on the way back."""
+    from chronotext.operators.ctc import align_words
+
+    words = ["abcdefghij" * 6, "klmnopqrst" * 8]
+    frames = [[0.1] * 29 for _ in range(900)]
+    df = spark.createDataFrame([(1, words, frames), (2, words, None), (3, None, frames)], "k int, words array<string>, emission array<array<float>>")
+    vocab = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")} | {"|": 27, "<unk>": 28}
+    got = align_words(df, ["k"], vocab).collect()
+    assert [(r.k, r.tok_pos, r.aligned) for r in got] == [(1, 0, True), (1, 1, True), (2, -1, False), (3, -1, False)]
