@@ -21,11 +21,14 @@ c AS (SELECT doc_id, item_id, pat, unnest(l) AS piece, unnest(range(len(l))) AS
 o AS (SELECT doc_id, item_id, length(regexp_extract(piece, '(?s)(?:' || pat || ')\z')) AS m, sum(length(piece)) OVER (PARTITION BY doc_id, item_id ORDER BY n) AS e FROM c)
 SELECT doc_id, item_id, (e - m)::INTEGER AS start, e::INTEGER AS "end", 0 AS edits FROM o"""
 
-#: windows of 50 words that begin at two places, united where they overlap or touch
-REPEATED_PASSAGES = rf"""WITH w AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+
+
+def _repeated(places: str) -> str:
+    """Windows of 50 words with two places, united where they overlap or touch."""
+    return rf"""WITH w AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 u AS (SELECT doc_id, ws, unnest(range(len(ws) - 49)) AS s FROM w WHERE len(ws) >= 50),
 g AS (SELECT doc_id, s, md5(array_to_string(ws[s + 1 : s + 50], ' ')) AS h FROM u),
-r AS (SELECT h FROM g GROUP BY h HAVING count(DISTINCT (doc_id, s)) > 1),
+r AS (SELECT h FROM g GROUP BY h HAVING count(DISTINCT {places}) > 1),
 f AS (SELECT DISTINCT doc_id, s FROM g WHERE h IN (SELECT h FROM r)),
 b AS (SELECT *, CASE WHEN s > max(s + 50) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM f),
 n AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS part FROM b)
@@ -34,5 +37,6 @@ SELECT doc_id, min(s)::INTEGER AS start_word, (max(s) + 50)::INTEGER AS end_word
 SQL: dict[str, str] = {
     "op3_embedding_near_dedup": EMBEDDING_NEAR_DEDUP,
     "op6_benchmark_decontamination": DECONTAMINATION,
-    "op9_suffix_array_dedup": REPEATED_PASSAGES,
+    "op9_suffix_array_dedup": _repeated("doc_id"),
+    "op9_with_repeats_within": _repeated("(doc_id, s)"),
 }

@@ -53,6 +53,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that repeat across documents."""
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op9_with_repeats_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator, which also reports passages that repeat within one document only."""
     return repeated_passages(table(spark, sf_dir, "documents"), within=True)
 
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
+    "op9_with_repeats_within": op9_with_repeats_within,
     "op10_language_id": op10_language_id,
 }
 

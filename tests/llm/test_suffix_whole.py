@@ -48,4 +48,5 @@ def test_query_reports_repeats_within_a_document(spark, tmp_path):
     passage = " ".join(f"w{k}" for k in range(60))
     text = passage + " between these two " + passage
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert rows(queries.op9_suffix_array_dedup(spark, str(tmp_path))) == {(1, 0, 60), (1, 63, 123)}
+    assert rows(queries.op9_with_repeats_within(spark, str(tmp_path))) == {(1, 0, 60), (1, 63, 123)}
+    assert rows(queries.op9_suffix_array_dedup(spark, str(tmp_path))) == set()  # it repeats in no other document
