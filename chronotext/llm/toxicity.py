@@ -207,7 +207,10 @@ def fit(cells: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int = 60, l
     np.add.at(seen, (y[inner - 1], y[inner]), 1)
     for epoch in range(1, epochs + 1):
         trans = theta[-4:].reshape(2, 2)
-        e = theta[-5] + theta[:-5][where].sum(axis=0)
+        e = theta[where[0]]
+        for row in where[1:]:
+            e += theta[row]
+        e += theta[-5]
         log_odds, a, b = marginals(e, first, trans)
         p = _sigmoid(log_odds)
         grad = np.zeros_like(theta)
@@ -254,17 +257,21 @@ def one_per_family(texts: pa.Array) -> np.ndarray:
 
 def token_labels(w: Words, toxic: np.ndarray) -> np.ndarray:
     """1 for each word of a toxic document that has a feature bound to the toxic label."""
-    parts = [(mix(x), *p) for x, p, _ in map(word_features, _blocks(w, 1 << 20))]
-    families = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, U64)]
-    del parts
-    owner = w.text_of_word()
+    families = np.zeros((1 + len(PREFIXES), len(w)), dtype=U64)
+    done = 0
+    for own in _blocks(w, 1 << 20):
+        word, pre, _ = word_features(own)
+        families[:, done : done + len(own)] = [mix(word), *pre]
+        done += len(own)
+    owner = w.text_of_word().astype(np.int32)
     n_bad, n_good = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     rate = n_bad / (n_bad + n_good)
     counts = []
     for h in families:
-        live = np.flatnonzero(h)
-        order = live[np.argsort(h[live], kind="stable")]  # words stand by document, so equal names do too
+        order = np.argsort(h, kind="stable").astype(np.int32)  # words stand by document, so equal names do too
+        order = order[len(h) - np.count_nonzero(h) :]
         name, doc = h[order], owner[order]
+        del order
         once = np.ones(len(name), dtype=bool)
         once[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
         name, doc = name[once], doc[once]
@@ -281,7 +288,8 @@ def token_labels(w: Words, toxic: np.ndarray) -> np.ndarray:
         gain = bad * np.log(share / rate) + good * np.log((1 - share) / (1 - rate))
         fair = (bad / n_bad) / (bad / n_bad + good / n_good + 1e-12)
         strong = names[(share > rate) & (fair >= 0.9) & (gain > np.log(max(tried, 2)) + 2)]
-        y |= np.isin(h, strong) & (h != 0)
+        if len(strong):  # names stand in order
+            y |= strong[np.minimum(np.searchsorted(strong, h), len(strong) - 1)] == h
     return y & toxic[owner]
 
 
