@@ -2,7 +2,7 @@ import numpy as np
 
 import pytest
 
-from chronotext.llm.embed_dedup import choose, near_duplicate_vectors, packed, projection_keys, spanning_links, unpacked
+from chronotext.llm.embed_dedup import alike, block_of, choose, linked, near_duplicate_vectors, packed, projection_keys, spanning_links, unpacked
 
 
 def brute_groups(ids, x, threshold):
@@ -153,3 +153,66 @@ def test_window_reaches_over_small_partitions(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert got == groups  # a window of all rows compares all pairs
+
+
+@pytest.fixture
+def many_blocks(spark):
+    """Partitions, and so blocks, of few rows."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.6])
+def test_no_link_at_the_threshold_is_lost(spark, many_blocks, mean):
+    """A sample's angles and a window lost some of these pairs."""
+    x = at_threshold(12000, 64, 2000, 0.903, mean, np.random.default_rng(10)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)
+    pairs, groups = brute_groups(list(range(len(x))), x.astype(np.float64), 0.9)
+    assert len(pairs) > 1900
+    assert {r.vec_id: r.group_id for r in near_duplicate_vectors(df).collect()} == groups
+
+
+def test_groups_over_blocks_that_are_apart(spark, many_blocks):
+    """Large groups, narrow or chained, copies in several blocks, an id with two vectors, and two lengths."""
+    rng = np.random.default_rng(11)
+    x = np.repeat(rng.standard_normal((6, 24)), 300, axis=0)
+    x += np.repeat([0.02, 0.05, 0.2, 0.3, 0.4, 0.6], 300)[:, None] * rng.standard_normal(x.shape)
+    x[1750:] = x[7]
+    x = x.astype(np.float32)
+    _, groups = brute_groups(list(range(1800)), x.astype(np.float64), 0.9)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    other = [(5000 + i, v[:5].tolist()) for i, v in enumerate(x[:600])]
+    _, short = brute_groups([i for i, _ in other], x[:600, :5].astype(np.float64), 0.9)
+    rows += other + [(9000, x[10].tolist()), (9000, x[310].tolist())]  # joins two groups
+    first, second = groups[10], groups[310]
+    assert first != second and len(set(groups.values())) > 3
+    want = {i: min(first, second) if g in (first, second) else g for i, g in groups.items()} | short | {9000: min(first, second)}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    assert {r.vec_id: r.group_id for r in near_duplicate_vectors(df).collect()} == want
+
+
+@pytest.mark.parametrize("dim", [1, 2, 7, 64])
+def test_linked_blocks_against_brute_force(dim):
+    rng = np.random.default_rng(dim)
+    x = np.repeat(rng.standard_normal((300, dim)), 3, axis=0)
+    x = (x + 0.25 * rng.standard_normal(x.shape)).astype(np.float32)[rng.permutation(900)]
+    _, groups = brute_groups(list(range(900)), x.astype(np.float64), 0.9)
+    want = np.array([groups.get(i, i) for i in range(900)])
+    a, b = block_of(x[:500]), block_of(x[500:])
+    root = np.r_[linked(a, a, np.arange(500), 0.9), 500 + linked(b, b, np.arange(400), 0.9)]
+    assert (linked(a, b, root, 0.9) == want).all()
+
+
+def test_cosines_next_to_the_threshold_are_decided_in_double_precision():
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((4000, 2)).astype(np.float32)
+    turn = np.arccos(0.9) + np.linspace(-2e-6, 2e-6, 4000)
+    y = np.stack([x[:, 0] * np.cos(turn) - x[:, 1] * np.sin(turn), x[:, 0] * np.sin(turn) + x[:, 1] * np.cos(turn)], axis=1).astype(np.float32)
+    p, q = x.astype(np.float64), y.astype(np.float64)
+    want = (p * q).sum(axis=1) >= 0.9 * np.sqrt((p * p).sum(axis=1)) * np.sqrt((q * q).sum(axis=1))
+    got = np.array([linked(block_of(x[k : k + 1]), block_of(y[k : k + 1]), np.arange(2), 0.9)[1] == 0 for k in range(4000)])
+    assert 1000 < want.sum() < 3000 and (alike(x, y, 0.9) == want).all() and (got == want).all()
