@@ -50,11 +50,16 @@ def word_time(frame: Column | str, frames_per_logit: Column | str, offset: Colum
     return _col(frame) * _col(frames_per_logit) / F.lit(sample_rate) + _col(offset)
 
 
+def frames_over_logits(frames: Column, logits: Column) -> Column:
+    """Frames to a logit; not a number where there are neither, as in a region of one score."""
+    return F.when(logits == 0, F.lit(float("nan"))).otherwise(frames / logits)
+
+
 def frames_per_logit(chunks: DataFrame, keys: Sequence[str], chunk_size: float = 30.0, speech_frames: str | None = None) -> DataFrame:
-    """Per speech: its frames over its logits where its frames are known, else the sums over its chunks."""
+    """Per speech: its frames over its logits where its frames are known, else the sums over its chunks; NaN if it has no frames."""
     own = F.first(speech_frames) if speech_frames else F.lit(None).cast("long")
-    total = F.sum("audio_frames") / F.sum(output_logits("audio_frames", chunk_size))
-    return chunks.groupBy(*keys).agg(own.alias("__f"), total.alias("__t")).select(*keys, F.coalesce(F.col("__f") / output_logits("__f", chunk_size), F.col("__t")).alias("frames_per_logit"))
+    total = frames_over_logits(F.sum("audio_frames"), F.sum(output_logits("audio_frames", chunk_size)))
+    return chunks.groupBy(*keys).agg(own.alias("__f"), total.alias("__t")).select(*keys, F.coalesce(frames_over_logits(F.col("__f"), output_logits("__f", chunk_size)), F.col("__t")).alias("frames_per_logit"))
 
 
 def best_score(emission: Column | str, ids: Sequence[int], blank: int = 0) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chronotext.functions.frames import output_logits, seconds_to_frames
 from chronotext.functions.text import SENTENCE, sentence_spans, sentences_of, token_map, token_map_with
-from chronotext.operators.ctc import align_words, frames_per_logit, word_time
+from chronotext.operators.ctc import align_words, frames_over_logits, frames_per_logit, word_time
 from chronotext.operators.intervals import detect_in_files, detect_in_speeches
 from chronotext.operators.segments import custom_spans, encode_segments, segment_id, segment_words, whole_text_segment
 from chronotext.operators.tokens import extend_over_deletions, interpolate_times, merge_multitoken
@@ -133,7 +133,7 @@ def align(
     if chunks is not None:
         rate = frames_per_logit(chunks, speech, chunk_size, "speech_frames" if "speech_frames" in chunks.columns else None)
     else:
-        rate = units.groupBy(*speech).agg((F.sum("audio_frames") / F.sum(output_logits("audio_frames", chunk_size))).alias("frames_per_logit"))
+        rate = units.groupBy(*speech).agg(frames_over_logits(F.sum("audio_frames"), F.sum(output_logits("audio_frames", chunk_size))).alias("frames_per_logit"))
     bounds = units.select(*keys, F.col("start").alias("__a"), F.col("end").alias("__b"))
     shift = int(start_wildcard)
     good = found.where("aligned").join(rate, speech).join(bounds, keys)
