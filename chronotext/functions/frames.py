@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,13 @@ def receptive_field(kernels: Sequence[int] = KERNELS, strides: Sequence[int] = S
     return field
 
 
+def half_up(x: np.ndarray, digits: int) -> np.ndarray:
+    """Rounded as SQL's round of DOUBLE: halves of the scaled number away from zero."""
+    y = x * 10.0**digits
+    whole = np.trunc(y)
+    return (whole + (np.abs(y - whole) >= 0.5) * np.sign(y)) / 10.0**digits
+
+
 def receptive_field_of(kernels: Column | str, strides: Column | str) -> Column:
     """The same fold for kernels and strides that are array columns."""
     layers = F.zip_with(_col(kernels), _col(strides), lambda k, s: F.struct(k.cast("long").alias("k"), s.cast("long").alias("s")))

@@ -96,8 +96,8 @@ def _spaces(b: np.ndarray) -> np.ndarray:
     return s
 
 
-def runs(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
-    """Runs between white space: (text index, run, start, end), offsets in code points of the text."""
+def _places(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' bytes, each text's first byte, code points before each byte, and (text index, first byte, end byte) of each run between white space."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     n = len(texts)
     off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
@@ -117,18 +117,27 @@ def runs(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]
     owner = np.searchsorted(off, start, side="right") - 1
     points = np.zeros(len(b) + 1, np.int64)
     np.cumsum((b & 0xC0) != 0x80, out=points[1:])
+    return b, off, points, owner, start, end
+
+
+def picked(b: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
+    """The strings between bytes lo and hi of b."""
+    size = hi - lo
+    bounds = np.zeros(len(lo) + 1, np.int64)
+    np.cumsum(size, out=bounds[1:])
+    packed = b[np.repeat(lo - bounds[:-1], size) + np.arange(int(bounds[-1]))] if len(lo) else b[:0]
+    return pa.Array.from_buffers(pa.large_string(), len(lo), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(packed))])
+
+
+def runs(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Runs between white space: (text index, run, start, end), offsets in code points of the text."""
+    b, off, points, owner, start, end = _places(texts)
     origin = points[off[owner]] if len(owner) else owner
-    bounds = np.empty(len(start) + 1, np.int64)
-    packed = b[np.repeat(start - np.r_[0, np.cumsum(end - start)][:-1], end - start) + np.arange(int((end - start).sum()))] if len(start) else b[:0]
-    bounds[0] = 0
-    np.cumsum(end - start, out=bounds[1:])
-    words = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(packed))])
-    return owner, words, points[start] - origin, points[end] - origin
+    return owner, picked(b, start, end), points[start] - origin, points[end] - origin
 
 
-def default_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array, np.ndarray, np.ndarray]:
-    """(text index, position, normalized token, original text, start, end) of every token."""
-    owner, words, start, end = runs(texts)
+def _normalized(texts: pa.Array, owner: np.ndarray, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Normalized tokens of runs and the run of each."""
     strange = [i for i, t in enumerate(texts.to_pylist()) if t and not unicodedata.is_normalized("NFKC", t)]
     if strange:
         at = np.flatnonzero(np.isin(owner, strange))
@@ -144,13 +153,34 @@ def default_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, p
     at = np.asarray(pc.list_parent_indices(pieces))
     flat = pc.list_flatten(pieces)
     live = np.flatnonzero(np.asarray(pc.utf8_length(flat)) > 0)
-    flat, at = flat.take(pa.array(live)), at[live]
+    return flat.take(pa.array(live)), at[live]
+
+
+def default_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array, np.ndarray, np.ndarray]:
+    """(text index, position, normalized token, original text, start, end) of every token."""
+    owner, words, start, end = runs(texts)
+    flat, at = _normalized(texts, owner, words)
     owner = owner[at]
     first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
     pos = np.arange(len(owner)) - np.repeat(first, np.diff(np.r_[first, len(owner)]))
     return owner, pos, flat, words.take(pa.array(at)), start[at], end[at]
 
 
+#: a map over texts takes so many bytes of them at once, or one text
+SLICE_BYTES = 1 << 20
+
+
+def slices(batch: pa.RecordBatch, text_col: str = "__text", size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of some `size` bytes of text: what a map holds doesn't grow with the rows of a batch."""
+    size = size or SLICE_BYTES
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + size, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def with_following(texts: pa.Array, owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """Extended end and full text of each token: up to the next token with another span, or to the text's end."""
     size = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from chronotext.functions.frames import output_logits, seconds_to_frames
 from chronotext.functions.text import SENTENCE, sentence_spans, sentences_of, token_map, token_map_with
+from chronotext.operators import fallback
 from chronotext.operators.ctc import align_words, frames_over_logits, frames_per_logit, word_time
 from chronotext.operators.intervals import detect_in_files, detect_in_speeches
 from chronotext.operators.segments import custom_spans, encode_segments, segment_id, segment_words, whole_text_segment
 from chronotext.operators.tokens import extend_over_deletions, interpolate_times, merge_multitoken
 
-__all__ = ["SENTENCE", "vad", "emissions", "align", "fallback_segments", "pipeline"]
+__all__ = ["SENTENCE", "vad", "emissions", "align", "fallback_lists", "fallback_segments", "pipeline"]
 
 #: frames of samples to a matrix of probabilities (frames x vocabulary)
 Scorer = Callable[[list[np.ndarray]], list[np.ndarray]]
@@ -71,18 +72,24 @@ def _segments(words: DataFrame, texts: DataFrame, keys: list[str], text_col: str
     return encode_segments(segment_words(merged, spans, keys, strict), keys, digits)
 
 
-def fallback_segments(texts: DataFrame, keys: Sequence[str], start: Column | str, end: Column | str, text_col: str = "text", splitter: Callable | str | None = "sentences", spans_col: str | None = None, strict: bool = True, digits: int = 5) -> DataFrame:
-    """Segments with word times interpolated over [start, end]: the path of texts that can't be aligned.
+def fallback_lists(texts: DataFrame, keys: Sequence[str], start: Column | str, end: Column | str, text_col: str = "text", splitter: Callable | str | None = "sentences", spans_col: str | None = None, strict: bool = True, digits: int = 5, words: bool = True) -> DataFrame:
+    """keys and segments: the list of each row's segments with word times interpolated over [start, end].
 
-    The token map is one pass without an exchange; everything after it shares
-    one exchange by key.
+    One map over the rows without an exchange; a row is a text of its own.
+    Without `words` segments have n_words in place of them.
     """
-    keys = list(keys)
     at = [F.col(c) if isinstance(c, str) else c for c in (start, end)]
-    bounded = texts.withColumn("__a", at[0]).withColumn("__b", at[1])
-    tokens = token_map(bounded, [*keys, "__a", "__b"], text_col, deletions=True)
-    timed = interpolate_times(tokens, keys, "__a", "__b").drop("__a", "__b")
-    return _segments(timed, texts, keys, text_col, splitter, spans_col, strict, digits)
+    bounded = texts.withColumn("__from", at[0]).withColumn("__to", at[1])
+    return fallback.fallback_lists(bounded, keys, "__from", "__to", text_col, sentences_of if splitter == "sentences" else splitter, spans_col, strict, digits, words)
+
+
+def fallback_segments(texts: DataFrame, keys: Sequence[str], start: Column | str, end: Column | str, text_col: str = "text", splitter: Callable | str | None = "sentences", spans_col: str | None = None, strict: bool = True, digits: int = 5, words: bool = True) -> DataFrame:
+    """Segments with word times interpolated over [start, end]: the path of texts that can't be aligned.
+
+    fallback_lists() with a row per segment: no exchange either.
+    """
+    lists = fallback_lists(texts, keys, start, end, text_col, splitter, spans_col, strict, digits, words)
+    return lists.select(*keys, F.inline("segments"))
 
 
 def align(

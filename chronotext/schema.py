@@ -82,3 +82,9 @@ def nest(speeches: DataFrame, segments: DataFrame | None = None, chunks: DataFra
             s = s.withColumn(n, F.coalesce(n, F.array().cast(SPEECH[n].dataType)))
     rate = F.first("sample_rate").alias("sample_rate") if "sample_rate" in s.columns else F.lit(None).cast("int").alias("sample_rate")
     return s.groupBy("audio_path").agg(rate, _listed("speech_pos", SPEECH, s.columns).alias("speeches"))
+
+
+def nest_rows(speeches: DataFrame) -> DataFrame:
+    """nest() where each row is the only speech of its file and holds its lists of records already: no exchange."""
+    fields = [(F.col(n) if n in speeches.columns else F.lit(None)).cast(SPEECH[n].dataType).alias(n) for n in SPEECH.names]
+    return speeches.select("audio_path", F.col("sample_rate").cast("int").alias("sample_rate"), F.array(F.struct(*fields)).alias("speeches"))

@@ -1,12 +1,16 @@
 """Queries over tables with odd rows: the rows of their SQL, no error and nothing left out."""
 
+import random
 import shutil
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from chronotext.plans import catalog
+from chronotext.functions import text as tx
+from chronotext.operators import tokens
+from chronotext.operators.segments import custom_spans, encode_segments, segment_words, whole_text_segment
+from chronotext.plans import catalog, pipelines
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -54,3 +58,42 @@ def test_case_of_texts_that_begin_with_white_space(spark, changed):
     odd = docs.limit(2).withColumn("doc_id", -F.col("doc_id") - 1).withColumn("text", F.concat(F.lit(" \n"), "text"))
     rows = same(spark, *changed("documents", docs.unionByName(odd)), "fold_case")
     assert sum(r[1].startswith("  ") for r in rows) == 2
+
+
+def test_segments_of_a_text_need_no_exchange_by_key(spark):
+    for name in ("segment_fallback", "nest_json"):
+        plan = catalog.QUERIES[name](spark, D)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 0
+
+
+@pytest.mark.parametrize("strict", [True, False])
+@pytest.mark.parametrize("way", ["sentences", "whole", "given"])
+def test_segments_in_one_map_are_those_of_the_operators(spark, strict, way, monkeypatch):
+    """Texts in slices of a few bytes, runs of several pieces, leading and lone signs, null bounds, spans in any order."""
+    monkeypatch.setattr(tx, "SLICE_BYTES", 1)
+    rng = random.Random(7)
+    rows = []
+    for k in range(120):
+        text = "".join(rng.choice(["a", "Bc", "½", "ﬁ x", "a¨b", " ", "  ", "\n", ".", "?!", "—", "é", "𝔸", " "]) for _ in range(rng.randint(0, 40)))
+        given = sorted((a, a + rng.randint(1, 9)) for a in (rng.randint(-1, 30) for _ in range(rng.randint(0, 6))))
+        rows.append((k, text if k % 17 else None, 1.5, None if k % 23 == 5 else 1.5 + len(text) / 3, given))
+    texts = spark.createDataFrame(rows, "k int, text string, a double, b double, spans array<struct<start_char:int,end_char:int>>")
+    splitter, spans = (None if way == "whole" else "sentences"), ("spans" if way == "given" else None)
+    got = pipelines.fallback_segments(texts, ["k"], "a", "b", splitter=splitter, spans_col=spans, strict=strict, digits=9)
+    few = pipelines.fallback_segments(texts, ["k"], "a", "b", splitter=splitter, spans_col=spans, strict=strict, digits=9, words=False)
+    timed = tokens.interpolate_times(tx.token_map(texts, ["k", "a", "b"], deletions=True), ["k"], "a", "b").drop("a", "b")
+    merged = tokens.merge_multitoken(timed, ["k"], carry=["end_char_extended", "text_span_full"])
+    if way == "whole":
+        own = whole_text_segment(merged, ["k"])
+    else:
+        own = tx.sentence_spans(texts, ["k"])
+        if spans:
+            listed = custom_spans(texts, ["k"], spans)
+            own = listed.unionByName(own.join(listed.select("k").distinct(), "k", "left_anti"))
+    want = encode_segments(segment_words(merged, own, ["k"], strict), ["k"], 9)
+    plain = lambda r: (r.k, r.seg_pos, r.start, r.end, r.duration, r.text, r.score)
+    near = lambda a, b: len(a) == len(b) and all(x == pytest.approx(y) if isinstance(x, float) else x == y for x, y in zip(a, b))
+    have, wanted, counted = (df.orderBy("k", "seg_pos").collect() for df in (got, want, few))
+    assert len(have) == len(wanted) > 20 and all(near(plain(a), plain(b)) for a, b in zip(have, wanted))
+    assert all(len(a.words) == len(b.words) and all(near(tuple(x), tuple(y)) for x, y in zip(a.words, b.words)) for a, b in zip(have, wanted))
+    assert [(*plain(r), r.n_words) for r in counted] == [(*plain(r), len(r.words)) for r in have]
