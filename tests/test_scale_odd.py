@@ -4,6 +4,7 @@ import random
 import shutil
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,27 @@ def test_segments_in_one_map_are_those_of_the_operators(spark, strict, way, monk
     assert len(have) == len(wanted) > 20 and all(near(plain(a), plain(b)) for a, b in zip(have, wanted))
     assert all(len(a.words) == len(b.words) and all(near(tuple(x), tuple(y)) for x, y in zip(a.words, b.words)) for a, b in zip(have, wanted))
     assert [(*plain(r), r.n_words) for r in counted] == [(*plain(r), len(r.words)) for r in have]
+
+
+def test_locating_moves_no_text(spark):
+    """Neither the documents' words nor shingles that no needle has go through an exchange."""
+    for name in ("fuzzy_locate", "fuzzy_long"):
+        plan = catalog.QUERIES[name](spark, D)._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "SortMergeJoin" not in plan
+
+
+def test_a_map_over_texts_holds_a_slice_of_them(spark, monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"__text": ["a" * k for k in (5, 300, 0, 2000, 7)] + [None, "é" * 400]})
+    parts = list(tx.slices(batch, size=500))
+    assert [p.num_rows for p in parts] == [3, 1, 2, 1] and pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    whole = sorted(tx.sentence_spans(docs, ["doc_id"]).collect())
+    monkeypatch.setattr(tx, "SLICE_BYTES", 1)
+    assert sorted(tx.sentence_spans(docs, ["doc_id"]).collect()) == whole
+
+
+def test_rules_that_change_nothing_cost_nothing():
+    m = tx.SpanMap("one two three")
+    lo = m.lo
+    assert m.rewrite(r"\s+", " ").lo is lo and m.rewrite("x", "y").lo is lo
+    assert m.rewrite("one|two", lambda x: x.group() * 2).tokens() == [("oneone", "one", 0, 3), ("twotwo", "two", 4, 7), ("three", "three", 8, 13)]
