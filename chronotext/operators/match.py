@@ -119,17 +119,21 @@ def locate_long(needle: str, haystack: str, ends: np.ndarray, threshold: float =
 MATCH = [T.StructField("start_index", T.IntegerType()), T.StructField("end_index", T.IntegerType()), T.StructField("score", T.DoubleType())]
 
 
-def fuzzy_locate(pairs: DataFrame, keys: Sequence[str], needle: str = "needle", haystack: str = "haystack", ends: str = "ends", threshold: float = 55.0, max_length: int | None = None) -> DataFrame:
-    """keys, start_index, end_index, score for each pair of needle and haystack that matches; max_length splits long needles."""
+def fuzzy_locate(pairs: DataFrame, keys: Sequence[str], needle: str = "needle", haystack: str = "haystack", ends: str | None = "ends", threshold: float = 55.0, max_length: int | None = None) -> DataFrame:
+    """keys, start_index, end_index, score for each pair of needle and haystack that matches; max_length splits long needles.
+
+    Without `ends` the haystack is an array of words, which are joined here.
+    """
     names = list(keys)
-    slim = pairs.select(*names, F.col(needle).alias("__n"), F.col(haystack).alias("__h"), F.col(ends).cast("array<int>").alias("__e"))
+    hay = [F.col(haystack).alias("__h"), F.col(ends).cast("array<int>").alias("__e")] if ends else [F.array_join(haystack, "").alias("__h"), F.transform(haystack, lambda w: F.length(w)).alias("__e")]
+    slim = pairs.select(*names, F.col(needle).alias("__n"), *hay)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for i, (n, h, e) in enumerate(zip(batch.column("__n").to_pylist(), batch.column("__h").to_pylist(), batch.column("__e").to_pylist())):
                 if n and h and e:
-                    e = np.asarray(e)
+                    e = np.asarray(e) if ends else np.cumsum(e)
                     found = locate_long(n, h, e, threshold, max_length) if max_length else locate(n, h, e, threshold)
                     if found:
                         rows.append((i, *found))
@@ -142,12 +146,13 @@ def fuzzy_locate(pairs: DataFrame, keys: Sequence[str], needle: str = "needle",
     return slim.mapInArrow(run, T.StructType([slim.schema[k] for k in names] + MATCH))
 
 
-def candidate_pairs(needles: DataFrame, hays: DataFrame, needle_key: str, hay_key: str, needle: str = "needle", haystack: str = "haystack", shingle: int = 4, least: float = 0.25) -> DataFrame:
+def candidate_pairs(needles: DataFrame, hays: DataFrame, needle_key: str, hay_key: str, needle: str = "needle", haystack: str = "haystack", shingle: int = 4, least: float = 0.25, broadcast: bool = True) -> DataFrame:
     """Pairs of needle and haystack that share at least `least` of the needle's word shingles: (needle_key, hay_key, shared).
 
     An exact-scoring step needs only these.  Both sides are reduced to distinct
-    64-bit shingle names before the join, and the haystacks' names that no needle
-    has are dropped by a semi-join first.
+    64-bit shingle names before the join.  The needles' names go to all machines
+    (`broadcast`, for needles that are few beside the haystacks): names that no
+    needle has are dropped where they are made and never travel.
     """
 
     def names(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -159,5 +164,5 @@ def candidate_pairs(needles: DataFrame, hays: DataFrame, needle_key: str, hay_ke
     n = names(needles, needle_key, needle)
     size = n.groupBy(needle_key).agg(F.count("*").alias("__size"))
     h = names(hays, hay_key, haystack)
-    shared = n.join(h, "__g").groupBy(needle_key, hay_key).agg(F.count("*").alias("shared"))
+    shared = (F.broadcast(n) if broadcast else n).join(h, "__g").groupBy(needle_key, hay_key).agg(F.count("*").alias("shared"))
     return shared.join(size, needle_key).where(F.col("shared") >= F.greatest(F.lit(1.0), F.col("__size") * least)).drop("__size")
