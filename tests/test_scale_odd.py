@@ -4,10 +4,12 @@ import random
 import shutil
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from chronotext.functions import frames as fr
 from chronotext.functions import text as tx
 from chronotext.operators import tokens
 from chronotext.operators.segments import custom_spans, encode_segments, segment_words, whole_text_segment
@@ -122,3 +124,11 @@ def test_rules_that_change_nothing_cost_nothing():
     lo = m.lo
     assert m.rewrite(r"\s+", " ").lo is lo and m.rewrite("x", "y").lo is lo
     assert m.rewrite("one|two", lambda x: x.group() * 2).tokens() == [("oneone", "one", 0, 3), ("twotwo", "two", 4, 7), ("three", "three", 8, 13)]
+
+
+def test_times_are_rounded_as_in_sql(spark):
+    x = [0.0, 1.234565, 0.285005, 0.003125, 2.5e-6, 7.000005, -1.234565, 123456.123455]
+    want = [duckdb.sql(f"SELECT round({v!r}::DOUBLE, 5)").fetchall()[0][0] for v in x]
+    df = spark.createDataFrame([(v,) for v in x], "v double")
+    assert [r.r for r in df.select(fr.rounded("v", 5).alias("r")).collect()] == want == fr.half_up(np.array(x), 5).tolist()
+    assert [r.r for r in df.select(F.round("v", 5).alias("r")).collect()] != want
